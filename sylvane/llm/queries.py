@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvane.llm import media, packing, pieces, quality_rules, simhash
+from sylvane.llm import media, packing, pieces, pii, quality_rules, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+#: The key of the pseudonyms; a production run takes its own.
+PSEUDONYM_KEY = "sylvane"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY)
+    spans = F.transform("pii", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(spans, ",").alias("spans"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir), media.DIGESTS)
 
@@ -44,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_pieces": op3_pieces,
+    "op4_pii": op4_pii,
     "op5_media": op5_media,
     "op8_simhash": op8_simhash,
 }
