@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvane.llm import media, packing, pieces, pii, quality_model, quality_rules, secrets, simhash, url_filter
+from sylvane.llm import language_model, media, packing, pieces, pii, quality_model, quality_rules, secrets, simhash, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(documents(spark, sf_dir))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
+    "op9_language_model": op9_language_model,
     "op10_urls": op10_urls,
 }
 
