@@ -105,24 +105,26 @@ def measured(rows: DataFrame, text: str = "text") -> DataFrame:
     lost = F.aggregate(
         F.filter("__judged", lambda x: x["fails"]), F.lit(0).cast("long"), lambda a, x: a + F.char_length(F.regexp_replace(x["line"], SPACE, ""))
     )
-    n_words = F.size("__words").cast("long")
-    third = second.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        n_words.alias("__n_words"),
-        F.char_length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
-        F.regexp_count(value, F.lit(SYMBOL)).cast("long").alias("__n_symbols"),
-        (F.size("__own") - F.size(F.array_distinct("__own"))).cast("long").alias("__n_dup_lines"),
-        repeated_words(F.col("__words")).alias("__n_repeat_words"),
-        F.size(F.filter("__judged", lambda x: x["fails"])).cast("long").alias("__n_failed_lines"),
-        lost.alias("__lost_chars"),
-        F.array_join(F.transform(F.filter("__judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("__cleaned"),
+    measures = F.struct(
+        F.size("__words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(value, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        (F.size("__own") - F.size(F.array_distinct("__own"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("__words")).alias("n_repeat_words"),
+        F.size(F.filter("__judged", lambda x: x["fails"])).cast("long").alias("n_failed_lines"),
+        lost.alias("lost_chars"),
+        F.array_join(F.transform(F.filter("__judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"),
     )
+    # A generator keeps later filters above the measures; pushed below, they would compute them anew inside their lambdas.
+    third = second.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(F.array(measures)).alias("__q"))
+    third = third.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"__q.{c}").alias(f"__{c}") for c in MEASURED])
     failed = (F.col("__n_words") < LEAST_WORDS) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * MOST_REPEATED)
     return third.withColumn("__base_failed", failed).withColumn(
         "__kept", ~F.col("__base_failed") & (F.col("__lost_chars") * 100 <= F.col("__word_chars") * MOST_LOST)
     )
 
 
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "cleaned")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars", "cleaned")
 
 
