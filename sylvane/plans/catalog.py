@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from sylvane.plans import text_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (text_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Chunks of all documents."""
+    return QUERIES["chunk_documents"](spark, sf_dir)
