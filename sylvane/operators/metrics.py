@@ -35,14 +35,14 @@ def contingency(rows: DataFrame, a: str = "label", b: str = "cluster") -> DataFr
 
 def information(table: DataFrame) -> DataFrame:
     """One row: n, number of labels and clusters, entropies and mutual information in nats."""
-    total = table.agg(F.sum("n").alias("N"))
+    total = table.agg(F.sum("n").alias("total"))
     y = table.groupBy("y").agg(F.sum("n").alias("ny"))
     c = table.groupBy("c").agg(F.sum("n").alias("nc"))
-    h = lambda t, n: t.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(F.col(n) / F.col("N") * F.ln(F.col(n) / F.col("N"))), F.lit(0.0)).alias("h"), F.count("*").alias("k"))
+    h = lambda t, n: t.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(F.col(n) / F.col("total") * F.ln(F.col(n) / F.col("total"))), F.lit(0.0)).alias("h"), F.count("*").alias("k"))
     joined = table.join(y, "y").join(c, "c").crossJoin(F.broadcast(total))
-    mi = joined.agg(F.coalesce(F.sum(F.col("n") / F.col("N") * F.ln(F.col("n") * F.col("N") / (F.col("ny") * F.col("nc")))), F.lit(0.0)).alias("mi"))
+    mi = joined.agg(F.coalesce(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("ny") * F.col("nc")))), F.lit(0.0)).alias("mi"))
     return (
-        total.select(F.coalesce("N", F.lit(0.0)).alias("N"))
+        total.select(F.coalesce("total", F.lit(0.0)).alias("total"))
         .crossJoin(h(y, "ny").select(F.col("h").alias("hy"), F.col("k").alias("ky")))
         .crossJoin(h(c, "nc").select(F.col("h").alias("hc"), F.col("k").alias("kc")))
         .crossJoin(mi.select(F.greatest("mi", F.lit(0.0)).alias("mi")))
@@ -57,14 +57,14 @@ def nmi(table: DataFrame) -> DataFrame:
     mean = {"arithmetic": (F.col("hy") + F.col("hc")) / 2, "geometric": F.sqrt(F.col("hy") * F.col("hc")), "min": F.least("hy", "hc"), "max": F.greatest("hy", "hc")}
 
     def value(m: Column) -> Column:
-        return F.when(F.col("N") == 0, 0.0).when((F.col("ky") == 1) & (F.col("kc") == 1), 1.0).when(F.col("mi") <= 1e-15, 0.0).otherwise(F.col("mi") / F.when(m > 0, m))
+        return F.when(F.col("total") == 0, 0.0).when((F.col("ky") == 1) & (F.col("kc") == 1), 1.0).when(F.col("mi") <= 1e-15, 0.0).otherwise(F.col("mi") / F.when(m > 0, m))
 
     return information(table).select(*[value(m).alias(f"nmi_{k}") for k, m in mean.items()])
 
 
 def homogeneity(table: DataFrame, beta: float = 1.0) -> DataFrame:
     """One row: homogeneity, completeness and their weighted harmonic mean."""
-    part = lambda h: F.when(F.col("N") == 0, 0.0).when(F.col(h) == 0, 1.0).otherwise(F.col("mi") / F.when(F.col(h) != 0, F.col(h)))
+    part = lambda h: F.when(F.col("total") == 0, 0.0).when(F.col(h) == 0, 1.0).otherwise(F.col("mi") / F.when(F.col(h) != 0, F.col(h)))
     rows = information(table).select(part("hy").alias("homogeneity"), part("hc").alias("completeness"))
     weight = beta * F.col("homogeneity") + F.col("completeness")
     v = (1 + beta) * F.col("homogeneity") * F.col("completeness") / F.when(weight != 0, weight)
@@ -76,12 +76,12 @@ def ari(table: DataFrame) -> DataFrame:
     pairs = lambda t, n: t.agg(F.coalesce(F.sum(F.col(n) * (F.col(n) - 1) / 2), F.lit(0.0)).alias("p"))
     y = pairs(table.groupBy("y").agg(F.sum("n").alias("m")), "m").withColumnRenamed("p", "py")
     c = pairs(table.groupBy("c").agg(F.sum("n").alias("m")), "m").withColumnRenamed("p", "pc")
-    both = table.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("pb"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("N"))
+    both = table.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("pb"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("total"))
     rows = both.crossJoin(y).crossJoin(c)
-    all_pairs = F.col("N") * (F.col("N") - 1) / 2
+    all_pairs = F.col("total") * (F.col("total") - 1) / 2
     expected = F.col("py") * F.col("pc") / F.when(all_pairs > 0, all_pairs)
     top, under = F.col("pb") - expected, (F.col("py") + F.col("pc")) / 2 - expected
-    return rows.select(F.when(F.col("N") == 0, 0.0).when(F.coalesce(under, F.lit(0.0)) == 0, 1.0).otherwise(top / F.when(under != 0, under)).alias("ari"))
+    return rows.select(F.when(F.col("total") == 0, 0.0).when(F.coalesce(under, F.lit(0.0)) == 0, 1.0).otherwise(top / F.when(under != 0, under)).alias("ari"))
 
 
 def accuracy(rows: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sylvane.plans import text_queries
+from sylvane.plans import model_queries, text_queries, vector_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (text_queries,):
+for _module in (text_queries, vector_queries, model_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
