@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvane.functions.binding import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -29,8 +31,7 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x / F.when(n != 0, n)))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, 0.0).otherwise(x / F.when(n != 0, n)))))
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "embedding", out: str = "centroid") -> DataFrame:

@@ -82,8 +82,8 @@ def density_clusters(df: DataFrame, min_cluster_size: int = 5, min_samples: int
         x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
         return pd.DataFrame({"doc_id": pdf["doc_id"], "cluster": density_labels(x, min_cluster_size, min_samples)})
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), V.doubles(F.col(vector_col)).alias("v"))
-    return rows.groupBy(F.lit(0)).applyInPandas(each, "doc_id long, cluster int")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), V.doubles(F.col(vector_col)).alias("v"), F.lit(0).alias("all"))
+    return rows.groupBy("all").applyInPandas(each, "doc_id long, cluster int")
 
 
 def density_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int = 1) -> np.ndarray:

@@ -5,9 +5,12 @@ The stand-ins reproduce shapes and flow, not the quality of neural models.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +36,6 @@ class HypothesisGenerator(Protocol):
         """A statement that is true of collection a and not of b."""
 
 
-class HashingEmbedder:
-    """Counts of hashed lower-case tokens, of unit length."""
-
-    def __init__(self, dimensions: int = 64):
-        self.dimensions = dimensions
-
-    def embed(self, text: Column) -> Column:
-        d = self.dimensions
-        tokens = F.transform(T.words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(d)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.size(F.filter(tokens, lambda t: t == i)).cast("double"))
-        return V.unit(counts)
-
-
 class UdfEmbedder:
     """Any function from a list of texts to vectors, called on Arrow batches."""
 
@@ -53,8 +43,6 @@ class UdfEmbedder:
         self.function = function
 
     def embed(self, text: Column) -> Column:
-        import pandas as pd
-
         function = self.function
 
         @F.pandas_udf("array<double>")
@@ -64,15 +52,32 @@ class UdfEmbedder:
         return embedded(text)
 
 
+class HashingEmbedder(UdfEmbedder):
+    """Counts of hashed lower-case tokens, of unit length; zeros for a text without words."""
+
+    def __init__(self, dimensions: int = 64):
+        super().__init__(lambda texts: [self.vector(t) for t in texts])
+        self.dimensions = dimensions
+
+    def vector(self, text: str) -> np.ndarray:
+        at = [zlib.crc32(w.encode()) % self.dimensions for w in text.lower().split()]
+        counts = np.bincount(np.array(at, np.int64), minlength=self.dimensions).astype(float)
+        return counts / max(1e-12, float(np.linalg.norm(counts)))
+
+
 class LexicalEntailment:
-    """With r the share of the hypothesis' words that the text has: e = 4r - 2, c = 2 - 4r, n = 0."""
+    """With r the share of the hypothesis' words that the text has: e = 4r - 2, c = 2 - 4r, n = 0.
+
+    Where a hypothesis quotes something, only the words quoted count.
+    """
 
     def words(self, text: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
         return F.filter(found, lambda w: ~w.isin(*T.STOP_WORDS))
 
     def logits(self, premise: Column, hypothesis: Column) -> Column:
-        asked = self.words(hypothesis)
+        quoted = F.regexp_extract(hypothesis, '"([^"]+)"', 1)
+        asked = self.words(F.when(quoted != "", quoted).otherwise(hypothesis))
         r = F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, self.words(premise))) / F.when(F.size(asked) > 0, F.size(asked)))
         return F.struct((4 * r - 2).alias("e"), (2 - 4 * r).alias("c"), F.lit(0.0).alias("n"))
 
