@@ -70,7 +70,7 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of the 63 binary nodes, level by level, from rows of symbol counts."""
     zeros, ones = [], []
     for level in range(BITS):
-        split = counts.reshape(len(counts), 1 << level, 2, -1).sum(-1)
+        split = counts.reshape(len(counts), 1 << level, 2, SYMBOLS >> (level + 1)).sum(-1)
         zeros.append(split[:, :, 0])
         ones.append(split[:, :, 1])
     return np.concatenate(zeros, 1), np.concatenate(ones, 1)
@@ -86,7 +86,7 @@ def _symbol_logs(one: np.ndarray) -> np.ndarray:
     out, at = np.zeros((len(one), 1)), 0
     for level in range(BITS):
         p = np.clip(one[:, at : at + (1 << level)], 1e-12, 1 - 1e-12)
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], 2).reshape(len(one), -1)
+        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], 2).reshape(len(one), 2 << level)
         at += 1 << level
     return out
 

@@ -31,7 +31,7 @@ MOST_PATTERNS = 200_000
 #: Weight of the lengths below capacity / SHORT in the fit; they are easy to place afterwards.
 SHORT, SHORT_WEIGHT = 16, 0.25
 #: Ways to round the fitted counts: what is added before cutting off, and the least count that is used.
-ROUNDINGS = ((0.5, 1), (0.0, 1), (0.0, 2), (0.0, 4), (0.0, 8), (-1.0, 1))
+ROUNDINGS = ((0.5, 1), (0.0, 1), (-1.0, 1), (0.0, 2), (0.0, 4), (0.0, 8), (0.0, 16), (0.0, 64))
 #: Texts that are tokenized at once.
 TEXTS = 64
 
@@ -65,19 +65,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return rows.mapInArrow(each, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = MOST_PATTERNS) -> np.ndarray:
-    """Pairs and triples of the given lengths that add up to ``capacity``: rows of three, 0 for no document."""
-    here = np.zeros(capacity + 1, bool)
-    here[lengths] = True
-    found, total = [], 0
-    first = lengths[lengths * 2 <= capacity]
-    pairs = first[here[capacity - first]]
-    found.append(np.stack([pairs, capacity - pairs, np.zeros_like(pairs)], 1))
-    for a in lengths[lengths * 3 <= capacity]:
-        b = lengths[(lengths >= a) & (lengths * 2 <= capacity - a)]
-        b = b[here[capacity - a - b]]
-        found.append(np.stack([np.full_like(b, a), b, capacity - a - b], 1))
-        total += len(b)
+def patterns(lengths: np.ndarray, capacity: int, slack: bool = False, most: int = MOST_PATTERNS) -> np.ndarray:
+    """Pairs and triples of the given lengths that fill ``capacity``: rows of three, 0 for no document.
+
+    With ``slack`` the last length is the largest there is that still fits, whether or not it
+    fills the sequence.
+    """
+    largest = np.zeros(capacity + 1, np.int64)
+    largest[lengths] = lengths
+    if slack:
+        largest = np.maximum.accumulate(largest)
+    found, total = [np.zeros((0, 3), np.int64)], 0
+    for a in [0, *lengths[lengths * 2 <= capacity].tolist()]:
+        b = lengths[(lengths >= max(1, a)) & (lengths < capacity - a)]
+        c = largest[capacity - a - b]
+        fits = c >= b
+        found.append(np.stack([np.full(fits.sum(), a), b[fits], c[fits]], 1))
+        total += int(fits.sum())
         if total >= most:
             break
     return np.concatenate(found)
@@ -203,10 +207,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
-    columns = patterns(np.flatnonzero(counts[:capacity]), capacity)
     weight = np.where(np.arange(capacity) * SHORT < capacity, SHORT_WEIGHT, 1.0)
-    x = nnls(columns, counts[:capacity], weight)
-    ways = [_rounded(x, columns, counts, up, least) for up, least in ROUNDINGS]
+    ways, tried = [], None
+    for slack in (False, True):
+        columns = patterns(np.flatnonzero(counts[:capacity]), capacity, slack)
+        if tried is None or not np.array_equal(columns, tried):
+            x = nnls(columns, counts[:capacity], weight)
+            ways += [_rounded(x, columns, counts, up, least) for up, least in ROUNDINGS]
+        tried = columns
     return min(ways, key=lambda made: sum(n for n, _ in made))
 
 
