@@ -12,5 +12,5 @@ for _module in (text_queries, vector_queries, model_queries):
 
 
 def flagship(spark, sf_dir):
-    """Chunks of all documents."""
-    return QUERIES["chunk_documents"](spark, sf_dir)
+    """A topic tree over the documents: its nodes with questions and sizes."""
+    return QUERIES["topic_tree_build"](spark, sf_dir)
