@@ -81,4 +81,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
 }
 
-ORACLES: dict[str, str] = {}
+#: The quality rules in DuckDB's SQL.
+_SYMBOLS, _SPACE = r"[#*$%&|<>]", r"[\x20\x09-\x0D]+"
+_WORDS = f"list_filter(regexp_split_to_array({{0}}, '{_SPACE}'), lambda x: x <> '')"
+_COUNT = "len(regexp_extract_all({0}, '{1}'))"
+_LINE_FAILS = f"""(
+    {_COUNT.format('l', _SYMBOLS)} * 100 > {quality_rules.MOST_SYMBOLS} * length(l)
+    OR ({_COUNT.format('l', '[|»›•·]')} >= 2 AND {_COUNT.format('l', '[|»›•·]')} * {quality_rules.WORDS_A_SEPARATOR} >= len(w))
+    OR ({_COUNT.format('l', '!!')} >= 2 AND {_COUNT.format('l', '!!')} * 4 >= len(w))
+    OR (len(w) >= 4 AND regexp_matches(l, '\\p{{Lu}}') AND NOT regexp_matches(l, '\\p{{Ll}}'))
+    OR (len(w) >= 10 AND len(list_distinct(w)) * {quality_rules.WORDS_A_DISTINCT} < len(w))
+    OR (len(w) >= {quality_rules.UNPUNCTUATED} AND NOT regexp_matches(l, '[.,;:!?…。]'))
+    OR regexp_matches(l, '(?i){"|".join(quality_rules.BOILERPLATE)}'))"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents), words AS MATERIALIZED (SELECT r, {_WORDS.format('text')} AS w FROM d),
+      g AS MATERIALIZED (SELECT r, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM words WHERE len(w) > 2)),
+      twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+      covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+      lines AS MATERIALIZED (SELECT r, l, {_WORDS.format('l')} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)),
+      judged AS (SELECT r, count(*) - count(DISTINCT l) AS dup, count(*) FILTER (f) AS failed, coalesce(sum(n) FILTER (f), 0) AS lost FROM (SELECT r, l, {_LINE_FAILS} AS f, length(array_to_string(w, '')) AS n FROM lines WHERE len(w) > 0) GROUP BY r),
+      m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_COUNT.format('text', _SYMBOLS)} AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+        coalesce(failed, 0) AS n_failed_lines, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM d JOIN words USING (r) LEFT JOIN covered USING (r) LEFT JOIN judged USING (r)),
+      b AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR n_repeat_words * 100 > n_words * {quality_rules.MOST_REPEATED} AS base_failed FROM m)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost_chars * 100 <= word_chars * {quality_rules.MOST_LOST} AS kept, n_failed_lines, lost_chars FROM b""",
+}
