@@ -44,25 +44,32 @@ class TreeConfig:
     seed: int = 42
 
 
-def propagate_dense(x: np.ndarray, y: np.ndarray, k: int, sigma: float, alpha: float, max_iter: int, tol: float) -> np.ndarray:
+def propagate_node(x: np.ndarray, y: np.ndarray, k: int, sigma: float, alpha: float, max_iter: int, tol: float) -> np.ndarray:
     """Labels 0 and 1 for the rows of one node from known ones (-1: unknown), by the same rule as the edge tables."""
     n = len(x)
     if n < 2 or not (y >= 0).any():
         return np.maximum(y, 0)
     k = min(k, n - 1)
-    w = np.zeros((n, n), np.float32)
-    for at in range(0, n, 1024):
-        sims = x[at : at + 1024] @ x.T
+    x = x.astype(np.float32)
+    near, weight = np.zeros((n, k), np.int64), np.zeros((n, k))
+    for at in range(0, n, 512):
+        part = slice(at, at + 512)
+        sims = x[part] @ x.T
         sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -np.inf
-        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        d = 1 - np.take_along_axis(sims, near, 1)
-        w[np.arange(at, at + len(sims))[:, None], near] = np.exp(-(d**2) / (2 * sigma**2))
-    w = (w + w.T) / 2
-    s = w / (w.sum(1, keepdims=True) + 1e-12)
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        near[part] = best
+        weight[part] = np.exp(-((1 - np.take_along_axis(sims, best, 1).astype(float)) ** 2) / (2 * sigma**2)) / 2
+    rows, columns, w = np.repeat(np.arange(n), k), near.ravel(), weight.ravel()
+
+    def passed(f: np.ndarray) -> np.ndarray:
+        """W f, with halves of both directions added."""
+        return np.bincount(rows, w * f[columns], n) + np.bincount(columns, w * f[rows], n)
+
+    degree = passed(np.ones(n)) + 1e-12
     start = np.stack([y == 0, y == 1], 1).astype(float)
     now, known = start.copy(), y >= 0
     for _ in range(max_iter):
-        after = alpha * (s @ now) + (1 - alpha) * start
+        after = np.stack([alpha * passed(now[:, c]) / degree for c in (0, 1)], 1) + (1 - alpha) * start
         after[known] = start[known]
         if np.abs(after - now).max() < tol:
             break
@@ -71,7 +78,7 @@ def propagate_dense(x: np.ndarray, y: np.ndarray, k: int, sigma: float, alpha: f
 
 
 #: Up to so many documents a node is propagated in one task; larger nodes go through the edge tables.
-DENSE_NODE = 4096
+DENSE_NODE = 16_384
 
 
 def _labels(frontier: DataFrame, vectors: DataFrame, answers: DataFrame, sizes: dict[str, int], config: TreeConfig) -> DataFrame:
@@ -85,7 +92,7 @@ def _labels(frontier: DataFrame, vectors: DataFrame, answers: DataFrame, sizes:
         pdf = pdf.sort_values("doc_id")
         x = np.array(pdf["embedding"].tolist(), float).reshape(len(pdf), -1)
         y = pdf["answer"].fillna(-1).astype(int).to_numpy()
-        label = propagate_dense(x, y, config.n_neighbors, config.sigma, config.alpha, config.max_iter, config.tol)
+        label = propagate_node(x, y, config.n_neighbors, config.sigma, config.alpha, config.max_iter, config.tol)
         return pd.DataFrame({"node_id": pdf["node_id"], "doc_id": pdf["doc_id"], "label": label})
 
     made = joined.where(F.col("node_id").isin(small)).groupBy("node_id").applyInPandas(each, "node_id string, doc_id long, label int")
@@ -157,7 +164,7 @@ def build_tree(
     total = members.count()
     if not total:
         raise ValueError("Text collection cannot be empty")
-    vectors = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")).checkpoint()
     all_members, frontier, sizes = members, members, {"": total}
     questions: dict[str, str] = {}
     metrics: dict[str, dict] = {}
