@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 #: Rows of an Arrow batch, and its bytes where this Spark knows that setting: whole
 #: texts can be long, and a worker holds one batch in and one out.
-BATCH_ROWS = 2000
+BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 
