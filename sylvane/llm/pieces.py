@@ -25,8 +25,10 @@ from sylvane.llm.batches import bound_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segmented cuts that a task remembers.
-MEMO = 400_000
+#: Segmented cuts that a task remembers, in two generations.
+MEMO = 800_000
+#: The rank of a pair that makes no piece.
+NO_PIECE = 1 << 60
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,6 +88,17 @@ class CharacterMap:
         return found[0], self.replacements[found[1] : end]
 
 
+def _cut_pattern(pieces: dict[str, int]) -> str:
+    """A pattern of cuts that no piece reaches across, as far as these pieces allow.
+
+    Before each run of marks, if marks only lead in pieces, and around line feeds, if no longer piece has one.
+    """
+    if any(MARK in p.lstrip(MARK) for p in pieces):
+        return "(?s).+"
+    feed = "" if any("\n" in p for p in pieces if len(p) > 1) else "\n"
+    return "|".join([*([feed] if feed else []), f"{MARK}*[^{MARK}{feed}]+", f"{MARK}+"])
+
+
 class Encoded:
     """Ids of a text with the original byte span of each."""
 
@@ -122,17 +135,17 @@ class PieceModel:
         if kind_of_model != 2 or USER in self.kinds or UNUSED in self.kinds:
             raise ValueError("only BPE models without user-defined or unused pieces")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
-        self.rank = {p: (-self.scores[i], i) for p, i in self.ids.items()}
+        order = {v: i for i, v in enumerate(sorted({-self.scores[i] for i in self.ids.values()}))}
+        self.rank = {p: order[-self.scores[i]] for p, i in self.ids.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.byte_values = {i: b for b, i in self.bytes.items()}
         self.lengths = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds)], np.int64)
+        #: Bytes of the original text in each piece, where every mark in it stands for a space.
+        self.source_lengths = self.lengths - 2 * np.array([0 if k == BYTE else p.count(MARK) for p, k in zip(self.pieces, self.kinds)], np.int64)
         self.names = [str(i) for i in range(len(self.pieces))]
         self.shown = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else None if k == BYTE else p.replace(MARK, " ") for p, k in zip(self.pieces, self.kinds)]
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        apart = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        # a line feed that no longer piece holds is always a cut of its own
-        self.cut = re.compile(("\n|" if "\n" not in joined else "") + f"{MARK}*[^{MARK}{'' if chr(10) in joined else chr(10)}]+|{MARK}+" if apart else "(?s).+")
+        self.cut = re.compile(_cut_pattern(self.ids))
         self.memo: dict[str, tuple[int, ...]] = _Memo(self.segment)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -192,21 +205,18 @@ class PieceModel:
 
     def segment(self, cut: str) -> tuple[int, ...]:
         """Ids of a normalised cut: the best-scored adjacent pair, leftmost first, is merged until none is a piece."""
-        symbols, rank = list(cut), self.rank
-        none = (float("inf"), 0)
+        symbols, rank = list(cut), self.rank.get
         if len(symbols) <= 64:
-            pairs = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-            while pairs:
-                best = min(pairs)
-                if best is none or best[0] == none[0]:
-                    break
+            pairs = [rank(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
+            while pairs and (best := min(pairs)) != NO_PIECE:
                 i = pairs.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                joined = symbols[i] + symbols.pop(i + 1)
+                symbols[i] = joined
                 del pairs[i]
                 if i < len(pairs):
-                    pairs[i] = rank.get(symbols[i] + symbols[i + 1], none)
+                    pairs[i] = rank(joined + symbols[i + 1], NO_PIECE)
                 if i:
-                    pairs[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
+                    pairs[i - 1] = rank(symbols[i - 1] + joined, NO_PIECE)
         else:
             symbols = self._segment_long(symbols)
         out: list[int] = []
@@ -226,7 +236,7 @@ class PieceModel:
 
         rank, n = self.rank, len(symbols)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] + symbols[i + 1]))]
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
         heapify(heap)
         while heap:
             _, i, a, b = heappop(heap)
@@ -237,16 +247,16 @@ class PieceModel:
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
-                if r := rank.get(symbols[i] + symbols[after[i]]):
+                if (r := rank.get(symbols[i] + symbols[after[i]])) is not None:
                     heappush(heap, (r, i, symbols[i], symbols[after[i]]))
-            if before[i] >= 0 and (r := rank.get(symbols[before[i]] + symbols[i])):
+            if before[i] >= 0 and (r := rank.get(symbols[before[i]] + symbols[i])) is not None:
                 heappush(heap, (r, before[i], symbols[before[i]], symbols[i]))
         return [s for s in symbols if s]
 
     def encode_ids(self, text: str) -> list[int]:
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(memo) > MEMO // 2:
+            memo.turn()
         return list(chain.from_iterable(map(memo.__getitem__, self.cut.findall(self.normalise(text)[0]))))
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,8 +265,12 @@ class PieceModel:
         Neighbours share their border, so the spans of a text cover all of it. A piece whose
         bytes all come from the prefix has an empty span.
         """
+        if self.map is None and not self.strip and self.escape and self.unknown not in ids and MARK not in text:
+            # the plain case: only spaces became marks, so the pieces' own lengths say it all
+            ends = np.maximum(np.cumsum(self.source_lengths[np.array(ids, np.int64)]) - int(self.prefix), 0)
+            return np.concatenate([[0], ends[:-1]]) if ids else ends, ends
         ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
-        normal, origin = self.normalise(text)
+        _, origin = self.normalise(text)
         if origin is None and ids:
             data = np.frombuffer(text.encode(), np.uint8)
             marks = data == 32
@@ -275,7 +289,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, the prefix goes, runs of byte pieces are read as UTF-8."""
-        parts = [self.shown[i] for i in ids]
+        parts = list(map(self.shown.__getitem__, ids))
         if None in parts:
             out: list[str] = []
             run = bytearray()
@@ -306,14 +320,23 @@ def _utf8(data: bytes) -> str:
 
 
 class _Memo(dict):
+    """Values by key, computed once; the generation before the current one is still looked up."""
+
     def __init__(self, function):
         super().__init__()
-        self.function = function
+        self.function, self.before = function, {}
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 #: What :func:`encode_documents` can return beside doc_id.
 COLUMNS = {
@@ -347,7 +370,7 @@ def encode_documents(
             raise AssertionError("the pieces' spans don't cover the text")
         made = {"n_tokens": len(ids), "ids": ids, "begins": begins, "ends": ends}
         if "ids_sha256" in columns:
-            made["ids_sha256"] = hashlib.sha256(",".join([model.names[i] for i in ids]).encode()).hexdigest()
+            made["ids_sha256"] = hashlib.sha256(",".join(map(model.names.__getitem__, ids)).encode()).hexdigest()
         if "decoded" in columns or "decoded_sha256" in columns:
             made["decoded"] = model.decode(ids)
             made["decoded_sha256"] = hashlib.sha256(made["decoded"].encode()).hexdigest()
