@@ -57,7 +57,7 @@ def test_weights_mix_all_depths():
         if depth == 4:
             return own
         kids = {c[4 - depth - 1 :] for c, _ in grams if c[4 - depth :] == context}
-        return np.logaddexp(own, sum(weighted(depth + 1, k, node) for k in kids) + math.log(math.pi / math.pi)) - math.log(2)
+        return np.logaddexp(own, sum(weighted(depth + 1, k, node) for k in kids)) - math.log(2)
 
     context = next(c for c, _ in grams)
     for symbol in (1, 2, 5):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sylvane.llm import packing, pii, quality_model, quality_rules, simhash
 
@@ -21,7 +23,7 @@ def test_stages(spark, tmp_path):
     assert ids(after) == set(kept) and all(r["text"] == kept[r["doc_id"]]["cleaned"] and r["n_chars"] == len(r["text"]) for r in after.collect())
     before, after = outputs[1]
     model = quality_model.learn_documents(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
-    good = quality_model.document_features(before).select("doc_id", model.score(__import__("pyspark.sql.functions", fromlist=["col"]).col("x")).alias("s")).where("s >= 0.3")
+    good = quality_model.document_features(before).select("doc_id", model.score(F.col("x")).alias("s")).where("s >= 0.3")
     assert ids(after) == ids(good)
     before, after = outputs[2]
     assert ids(after) == {r["doc_id"] for r in simhash.near_duplicates(before).collect() if r["doc_id"] == r["component_id"]}

@@ -61,7 +61,8 @@ def test_documents(spark, odd_docs, odd_rows, no_docs):
     rows = S.near_duplicates(odd_docs).collect()
     fps = [brute_fingerprint(t) for _, t, *_ in odd_rows]
     root = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    least = {r: min(odd_rows[i][0] for i in range(len(fps)) if root[i] == r and odd_rows[i][0] is not None or odd_rows[i][0] is None and False) if any(odd_rows[i][0] is not None for i in range(len(fps)) if root[i] == r) else None for r in set(root)}
+    ids_of = {r: [odd_rows[i][0] for i in range(len(fps)) if root[i] == r and odd_rows[i][0] is not None] for r in set(root)}
+    least = {r: min(found, default=None) for r, found in ids_of.items()}
     key = lambda r: tuple(-1 if x is None else x for x in r)
     expected = sorted(((odd_rows[i][0], int(np.uint64(fps[i]).astype(np.int64)), least[root[i]]) for i in range(len(fps))), key=key)
     assert sorted(map(tuple, rows), key=key) == expected
