@@ -227,4 +227,10 @@ ORACLES = {
     "judge_averages": f"SELECT lang, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM {_LABELLED} GROUP BY lang",
     "generation_fidelity": "WITH r AS (SELECT (length(text) % 2 = 0)::INT AS e, length(text) % 6 / 5.0 AS s FROM conversations) SELECT round(avg(s), 6) AS level_share, round(avg(e), 6) AS p_path, round(avg(e) ** 0.2, 6) AS p_node FROM r",
     "best_method": "SELECT 'rtp' AS best_purity, 'hdbscan' AS best_entropy",
+    "inference_report": f"""WITH r AS (SELECT quality AS y, toxic AS c FROM {_LABELLED}), t AS (SELECT y, c, count(*)::DOUBLE AS n FROM r GROUP BY ALL), tot AS (SELECT sum(n) AS total FROM t),
+      ty AS (SELECT y, sum(n) AS ny FROM t GROUP BY y), tc AS (SELECT c, sum(n) AS nc FROM t GROUP BY c), lb AS (SELECT y AS l FROM ty UNION SELECT c FROM tc),
+      k AS (SELECT coalesce((SELECT n FROM t WHERE y = l AND c = l), 0) AS tp, coalesce((SELECT ny FROM ty WHERE y = l), 0) AS s, coalesce((SELECT nc FROM tc WHERE c = l), 0) AS m FROM lb),
+      i AS (SELECT (SELECT -sum(ny / total * ln(ny / total)) FROM ty, tot) AS hy, (SELECT -sum(nc / total * ln(nc / total)) FROM tc, tot) AS hc, (SELECT sum(n / total * ln(n * total / (ny * nc))) FROM t JOIN ty USING (y) JOIN tc USING (c), tot) AS mi),
+      a AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS b, (SELECT sum(ny * (ny - 1) / 2) FROM ty) AS y, (SELECT sum(nc * (nc - 1) / 2) FROM tc) AS c, (SELECT total * (total - 1) / 2 FROM tot) AS p)
+      SELECT (SELECT round(avg((y = c)::INT), 6) FROM r) AS accuracy, (SELECT round(avg(CASE WHEN s + m = 0 THEN 0 ELSE 2 * tp / (s + m) END), 6) FROM k) AS f1_macro, round(mi / ((hy + hc) / 2), 6) AS nmi, (SELECT round((b - y * c / p) / ((y + c) / 2 - y * c / p), 6) FROM a) AS ari FROM i""",
 }

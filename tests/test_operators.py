@@ -182,3 +182,28 @@ def test_stream(spark, tmp_path):
 def test_expressions(spark):
     row = spark.sql("select array('a','b') a").select(F.array_join(T.ngrams_up_to(F.col("a"), 3), "|").alias("g"), T.short_label(F.lit("x" * 100)).alias("s")).first()
     assert row["g"] == "a|b|a b" and row["s"] == "x" * 57 + "..."
+
+
+def test_asking(spark):
+    from sylvane.operators import ask
+
+    def make_client():
+        calls = {"n": 0}
+
+        def client(prompt):
+            calls["n"] += 1
+            if "broken" in prompt or calls["n"] == 1:
+                raise RuntimeError("no answer")
+            return {"answer": "cats" in prompt, "evidence": prompt[-4:], "q1": True, "q2": "cats" in prompt, "text": prompt}
+
+        return client
+
+    docs = spark.createDataFrame([(0, "about cats"), (1, "broken"), (2, None)], "doc_id long, text string").coalesce(1)
+    rows = {r["doc_id"]: r for r in ask.grounded(docs, "Is it about cats?", make_client).collect()}
+    assert rows[0]["answer"] and rows[0]["evidence"] == "cats" and rows[1]["answer"] is None and rows[1]["error"] == "no answer" and rows[2]["error"] is None
+    scores = {r["question"]: (r["q1"], r["q2"]) for r in ask.judge(spark.createDataFrame([("cats?",), ("dogs?",)], "question string"), make_client, ["q1", "q2"], 3).collect()}
+    assert scores == {"cats?": (1.0, 1.0), "dogs?": (1.0, 0.0)}
+    paths = spark.sql("select array(named_struct('hypothesis', 'A', 'decision', 'yes')) path")
+    assert ask.generate_from_paths(paths, make_client).first()["text"] == "Question: A? Answer: Yes"
+    examples = spark.sql("select array('a b', 'c') texts")
+    assert ask.generate_from_examples(examples, make_client).first()["text"] == "Texts: [a b, c]"
