@@ -1,23 +1,26 @@
 """Context-tree weighting over bytes, learned from a corpus and then fixed.
 
-Bytes become 6-bit symbols (the most frequent ones; the rest share an escape symbol and are
-told apart by their own frequencies), and a symbol is six binary decisions. Each decision
-has a context tree over the four symbols before it. Every node estimates its decision with
+A byte is eight binary decisions, each at one of the 255 nodes that the bits before it name. Each
+decision has a context tree over the four bytes before it. Every node estimates its decision with
 Krichevsky and Trofimov's rule from its counts; bottom up, a node's weighted probability
 is the mean of its own estimate's and of the product of its children's, and the ratio of the
-two says how much a context trusts itself against the deeper ones. All depths are mixed so.
+two says how much a context trusts itself against the deeper ones. All depths are mixed so, down
+to the deepest context in which the decision was met.
 
-Counts cover every training byte and are made in the cluster. What reaches the driver is
-bounded: at each depth the most frequent contexts, ``NODES`` in all. Contexts beyond them
-stay in the tree as one merged child of their parent, with the counts that are left.
+Only decisions that were met are stored, and all of them are: no context is dropped or merged, so
+the trees grow with the corpus. Subtrees from depth 3 down are made in the cluster, each whole in
+one bucket of contexts; the driver has the nodes of depths 0 to 2, at most 255 for each pair of bytes.
+
+``weigh`` and what it needs is the same weighting on dense rows of six-bit symbols, for comparison.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,8 @@ SYMBOLS = 1 << BITS
 ESCAPE = SYMBOLS - 1
 #: The byte that ends a text and precedes it; it is no part of UTF-8.
 END = 255
-#: Contexts that are kept at each depth, from 0 to 4: 65,535 at most in all.
-NODES = (1, 64, 4096, 16384, 44990)
+#: Binary decisions of a byte.
+LEVELS = 8
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -92,33 +95,13 @@ def _symbol_logs(one: np.ndarray) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """The fixed model; of bounded size, whatever the corpus."""
+    """The model of dense rows."""
 
     symbol_of: np.ndarray  # of each byte
     escaped: np.ndarray  # log10 probability of each byte, given the escape symbol
     contexts: list[np.ndarray]  # kept contexts of each depth; the row of each in ``logs`` follows the ones before
     logs: np.ndarray  # log10 probability of each symbol in each kept context
 
-    def index(self) -> np.ndarray:
-        """The row of the deepest kept context, for every four symbols."""
-        table, row = np.zeros(1 << (BITS * DEPTH), np.uint16), 0
-        for depth, contexts in enumerate(self.contexts):
-            view = table.reshape(-1, 1 << (BITS * depth))
-            view[:, contexts] = np.arange(row, row + len(contexts), dtype=np.uint16)
-            row += len(contexts)
-        return table
-
-    def score(self, data: bytes, index: np.ndarray) -> float:
-        """log10 probability of a text and its end."""
-        values = np.frombuffer(bytes([END] * DEPTH) + data + bytes([END]), np.uint8)
-        symbols = self.symbol_of[values].astype(np.uint32)
-        n = len(values) - DEPTH
-        context = (symbols[:n] << 18) | (symbols[1 : n + 1] << 12) | (symbols[2 : n + 2] << 6) | symbols[3 : n + 3]
-        own = symbols[DEPTH:]
-        total = float(np.take(self.logs.ravel(), (index[context].astype(np.uint32) << BITS) | own).sum(dtype=float))
-        rare = values[DEPTH:][own == ESCAPE]
-        return total + float(self.escaped[rare].sum(dtype=float)) if len(rare) else total
-
 
 def weigh(byte_counts: np.ndarray, symbol_of: np.ndarray, contexts: list[np.ndarray], counts: list[np.ndarray]) -> Model:
     """The model of the kept contexts (by depth, each sorted) and their symbol counts.
@@ -170,12 +153,6 @@ def alphabet(byte_counts: np.ndarray) -> np.ndarray:
     return symbol_of
 
 
-def _matrix(rows: pd.DataFrame, contexts: np.ndarray) -> np.ndarray:
-    counts = np.zeros((len(contexts), SYMBOLS))
-    counts[np.searchsorted(contexts, rows["context"].to_numpy(np.int64)), rows["symbol"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return counts
-
-
 def frequent(counts: DataFrame, n: str, most: int) -> int:
     """The least value of ``n`` such that at most ``most`` rows have it or more, on a scale of eighths of a doubling."""
     step = F.floor(F.log2(F.col(n)) * 8).cast("int")
@@ -188,31 +165,210 @@ def frequent(counts: DataFrame, n: str, most: int) -> int:
     return int(np.ceil(2 ** (least / 8) - 1e-9)) if least is not None else (1 << 62)
 
 
-def learn(gram_counts: DataFrame) -> Model:
-    """The model of ``(code, n)``: codes as :func:`grams` makes them, with their counts."""
-    by_byte = gram_counts.groupBy(F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("b")).agg(F.sum("n").alias("n")).collect()  # 256 rows
-    byte_counts = np.zeros(256, np.int64)
-    for r in by_byte:
-        byte_counts[r["b"]] = r["n"]
-    symbol_of = alphabet(byte_counts)
-    table = F.array(*[F.lit(int(s)) for s in symbol_of])
-    symbol = lambda i: F.get(table, F.shiftrightunsigned("code", 8 * i).bitwiseAND(F.lit(255)).cast("int")).cast("long")
-    context = sum((F.shiftleft(symbol(i), BITS * (i - 1)) for i in range(2, DEPTH + 1)), symbol(1))
-    deepest = gram_counts.select(context.alias("context"), symbol(0).alias("symbol"), "n").groupBy("context", "symbol").agg(F.sum("n").alias("n")).checkpoint()
-    contexts: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for depth in range(DEPTH + 1):
-        cut = F.col("context").bitwiseAND(F.lit((1 << (BITS * depth)) - 1))
-        here = deepest.select(cut.alias("context"), "symbol", "n").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-        if depth > 2:  # up to there, all contexts there can be
-            totals = here.groupBy("context").agg(F.sum("n").alias("total"))
-            least = frequent(totals, "total", NODES[depth])
-            here = here.join(totals.where(F.col("total") >= least), "context").select("context", "symbol", "n")
-        rows = here.toPandas()  # 64 symbols of NODES[depth] contexts at most
-        found = np.unique(rows["context"].to_numpy(np.int64)) if depth else np.zeros(1, np.int64)
+def tree_order(codes: np.ndarray) -> np.ndarray:
+    """Codes with the nearest byte of the context first and the byte itself last: a subtree is a range of them."""
+    byte = lambda i: (codes >> np.uint64(8 * i)) & np.uint64(255)
+    return ((byte(1) << np.uint64(32)) | (byte(2) << np.uint64(24)) | (byte(3) << np.uint64(16)) | (byte(4) << np.uint64(8)) | byte(0)).astype(np.int64)
+
+
+def buckets_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each code, by the three nearest bytes of its context."""
+    near = (codes >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _nodes(codes: np.ndarray, times: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, zeros, ones) of the decisions met at this level; a key is the context and the bits before the decision."""
+    keys = codes >> (LEVELS - level)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return keys, np.zeros(0), np.zeros(0)
+    ones = np.add.reduceat(times * ((codes >> (LEVELS - 1 - level)) & 1), first)
+    return keys[first], (np.add.reduceat(times, first) - ones).astype(float), ones.astype(float)
+
+
+def _parent(keys: np.ndarray, level: int) -> np.ndarray:
+    """The keys without the farthest byte of the context."""
+    return ((keys >> (8 + level)) << level) | (keys & ((1 << level) - 1))
+
+
+def _named(keys: np.ndarray, level: int) -> np.ndarray:
+    """Keys that tell levels apart: the context above the number of the node, from 1 to 255."""
+    return ((keys >> level) << 8) | (1 << level) | (keys & ((1 << level) - 1))
+
+
+def _trust(own: np.ndarray, product: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(product - own, -700, 700)))
+
+
+class Tier(NamedTuple):
+    """Decisions of one level in contexts of three and of four bytes."""
+
+    keys3: np.ndarray
+    zeros3: np.ndarray
+    ones3: np.ndarray
+    own3: np.ndarray
+    product3: np.ndarray  # of the children, as a logarithm
+    keys4: np.ndarray
+    estimate4: np.ndarray
+    above4: np.ndarray  # the place of the parent in keys3
+
+
+def _lower(codes: np.ndarray, times: np.ndarray) -> list[Tier]:
+    """The tiers of a bucket, by level, from its sorted codes in tree order and their counts."""
+    codes, times = codes[times > 0], times[times > 0]
+    near, near_times = counted(((codes >> 16) << 8) | (codes & 255), times)
+    tiers = []
+    for level in range(LEVELS):
+        keys4, zeros4, ones4 = _nodes(codes, times, level)
+        keys3, zeros3, ones3 = _nodes(near, near_times, level)
+        above = np.searchsorted(keys3, _parent(keys4, level))
+        product = np.bincount(above, log_kt(zeros4, ones4), len(keys3))
+        tiers.append(Tier(keys3, zeros3, ones3, log_kt(zeros3, ones3), product, keys4, (ones4 + 0.5) / (zeros4 + ones4 + 1), above))
+    return tiers
+
+
+def contributions(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, zeros, ones, product) that a bucket adds to decisions in contexts of two bytes."""
+    made = []
+    for level, t in enumerate(_lower(codes, times)):
+        keys, at = np.unique(_parent(t.keys3, level), return_inverse=True)
+        sums = [np.bincount(at, v, len(keys)) for v in (t.zeros3, t.ones3, np.logaddexp(t.own3, t.product3) - np.log(2))]
+        made.append((_named(keys, level), *sums))
+    return tuple(np.concatenate([m[i] for m in made]) for i in range(4))
+
+
+class Upper(NamedTuple):
+    """Decisions in contexts of up to two bytes."""
+
+    keys: list[np.ndarray]  # by depth, each sorted
+    final: list[np.ndarray]  # probability of 1 where no deeper context has met the decision
+    mixed: np.ndarray  # what depths 0 to 2 give to the mixture of a deeper context
+    rest: np.ndarray  # and the weight that they leave to it
+
+
+def upper(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> Upper:
+    """The upper tree from the sums of all buckets' contributions; ``keys`` are distinct."""
+    order = np.argsort(keys)
+    keys, zeros, ones, product = keys[order], zeros[order], ones[order], product[order]
+    tiers = []
+    for depth in (2, 1, 0):
+        own = log_kt(zeros, ones)
+        trust, estimate, weighted = _trust(own, product), (ones + 0.5) / (zeros + ones + 1), np.logaddexp(own, product) - np.log(2)
+        near, at = np.unique(((keys >> 16) << 8) | (keys & 255), return_inverse=True)
+        tiers.append((keys, trust, estimate, at))
+        if depth:
+            keys, zeros, ones, product = near, *(np.bincount(at, v, len(near)) for v in (zeros, ones, weighted))
+    names, final = [], []
+    mixed, rest = np.zeros(len(keys)), np.ones(len(keys))
+    for depth, (keys, trust, estimate, at) in enumerate(tiers[::-1]):
         if depth:
-            found = found[np.isin(found & ((1 << (BITS * (depth - 1))) - 1), contexts[depth - 1])]
-            rows = rows[np.isin(rows["context"].to_numpy(np.int64), found)]
-        contexts.append(found)
-        counts.append(_matrix(rows, found))
-    return weigh(byte_counts, symbol_of, contexts, counts)
+            mixed, rest = mixed[at], rest[at]
+        names.append(keys)
+        final.append(mixed + rest * estimate)
+        mixed, rest = mixed + rest * trust * estimate, rest * (1 - trust)
+    return Upper(names, final, mixed, rest)
+
+
+def log_probabilities(codes: np.ndarray, times: np.ndarray, above: Upper) -> np.ndarray:
+    """log10 of each byte's probability after its context: sorted codes in tree order; a count may be 0."""
+    out = np.zeros(len(codes))
+    for level, t in enumerate(_lower(codes, times)):
+        at = np.searchsorted(above.keys[2], _named(_parent(t.keys3, level), level))
+        mixed, rest = above.mixed[at], above.rest[at]
+        estimate, trust = (t.ones3 + 0.5) / (t.zeros3 + t.ones3 + 1), _trust(t.own3, t.product3)
+        final3 = mixed + rest * estimate
+        mixed, rest = mixed + rest * trust * estimate, rest * (1 - trust)
+        final4 = mixed[t.above4] + rest[t.above4] * t.estimate4
+        one = np.full(len(codes), 0.5)
+        missing = np.ones(len(codes), bool)
+        wanted = codes >> (LEVELS - level)
+        for depth in range(DEPTH, -1, -1):
+            if depth > 2:
+                keys, values, sought = (t.keys4, final4, wanted) if depth == 4 else (t.keys3, final3, wanted)
+            else:
+                keys, values, sought = above.keys[depth], above.final[depth], _named(wanted, level)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+                hit = missing & (keys[place] == sought)
+                one[hit] = values[place[hit]]
+                missing &= ~hit
+            wanted = _parent(wanted, level)
+        one = np.clip(one, 1e-15, 1 - 1e-15)
+        out += np.log10(np.where((codes >> (LEVELS - 1 - level)) & 1, one, 1 - one))
+    return out
+
+
+def merged(part: pa.Table) -> pa.Table:
+    """One row for a bucket: its distinct codes in order and the sums of their counts."""
+    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint64)
+    times = np.frombuffer(b"".join(part.column("times").to_pylist()), np.int64)
+    codes, times = counted(codes, times)
+    return pa.table({"codes": pa.array([codes.tobytes()], pa.binary()), "times": pa.array([times.astype(np.int64).tobytes()], pa.binary())})
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, codes in tree order, counts) of each bucket, by tree order."""
+    for batch in batches:
+        for codes, times in zip(batch.column(0), batch.column(1)):
+            codes, times = np.frombuffer(codes.as_py(), np.uint64), np.frombuffer(times.as_py(), np.int64)
+            ordered = tree_order(codes)
+            order = np.argsort(ordered)
+            yield codes[order], ordered[order], times[order]
+
+
+def learn(partial: DataFrame) -> DataFrame:
+    """``(code, n, log)`` of ``(bucket, codes, times)``: all codes, with log10 of their bytes' probabilities.
+
+    Codes are as :func:`grams` makes them. Those with count 0 are priced, but not learned from.
+    """
+    spark = partial.sparkSession
+    trees = partial.groupBy("bucket").applyInArrow(merged, "codes binary, times binary").checkpoint()
+
+    def rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ordered, times in _buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in contributions(ordered, times)], ["key", "zeros", "ones", "product"])
+
+    sums = trees.mapInArrow(rise, "key bigint, zeros double, ones double, product double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "product")])
+    found = sums.toArrow()  # 255 rows for each pair of bytes at most
+    above = upper(*[found.column(c).to_numpy() for c in ("key", "zeros", "ones", "product")])
+    shared = spark.sparkContext.broadcast(tuple(above))
+
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = Upper(*shared.value)
+        for codes, ordered, times in _buckets(batches):
+            logs = log_probabilities(ordered, times, above)
+            for at in range(0, len(codes), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[cut].astype(np.int64)), pa.array(times[cut]), pa.array(logs[cut])], ["code", "n", "log"])
+
+    return trees.mapInArrow(fall, "code bigint, n bigint, log double")
+
+
+class Head:
+    """The logs of the broadcast codes: a small table in which the more frequent code has the slot, then a search."""
+
+    BITS = 17
+
+    def __init__(self, codes: np.ndarray, times: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
+        by_times = np.argsort(times, kind="stable")
+        self.slots = np.zeros(1 << self.BITS, np.int64)
+        self.slots[self._slot(codes[by_times])] = by_times
+        if len(codes):
+            self.slot_codes, self.slot_logs = codes[self.slots], logs[self.slots]
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
+
+    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each code, 0 where it is not here; and the places of those that are not."""
+        if not len(self.codes):
+            return np.zeros(len(codes)), np.arange(len(codes))
+        slot = self._slot(codes)
+        logs = self.slot_logs[slot]
+        other = np.flatnonzero(self.slot_codes[slot] != codes)
+        at = np.minimum(np.searchsorted(self.codes, codes[other]), len(self.codes) - 1)
+        here = self.codes[at] == codes[other]
+        logs[other] = np.where(here, self.logs[at], 0.0)
+        return logs, other[~here]

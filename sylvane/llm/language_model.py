@@ -1,9 +1,9 @@
 """Scores of texts under two models of the training documents: word unigrams, and context trees.
 
-One pass counts words and byte contexts of the training documents, partial sums first. The
-most frequent words (a bounded number) and the context trees (bounded as well) are
-broadcast, so that the second pass scores in place; only a document's rarer words are
-shuffled, to meet their counts, and come back as sums.
+Two passes count the words and the byte contexts of the training documents, partial sums first. The
+most frequent words, and the most frequent byte contexts with their bytes' probabilities, are
+broadcast (a bounded number of each), so that the last pass scores in place; only a document's rarer
+words and contexts are shuffled, to meet their counts or probabilities, and come back as sums.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from sylvane.llm.batches import bound_batches, texts_of
 from sylvane.session import ensure_checkpoint_dir
 
 FOLDS, SMOOTHING = 10, 0.1
-#: Words whose counts are broadcast at most.
-HEAD = 1 << 18
+#: Words whose counts are broadcast at most; byte contexts (with their byte) whose probabilities are.
+HEAD, GRAM_HEAD = 1 << 18, 1 << 20
 #: Distinct keys that a task gathers before it hands on their partial counts.
 GATHERED = 400_000
-END_KEY, WORD, GRAM = b"e", b"w", b"g"
+END_KEY, WORD = b"e", b"w"
+#: What the key of a byte context starts with where it shares a column with words; no word has this byte.
+GRAM = b"\t"
 
 
 def is_held_out(doc_id) -> bool:
@@ -37,48 +39,74 @@ def is_held_out(doc_id) -> bool:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the training texts: words, ends and byte contexts, summed within the task."""
+    """(key, n) of the training texts: words and ends, summed within the task."""
     words: Counter = Counter()
-    codes, times, ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    ends = 0
 
     def made() -> Iterator[pa.RecordBatch]:
         keys, n = [WORD + w for w in words], list(words.values())
         if ends:
             keys.append(END_KEY)
             n.append(ends)
-        keys += [GRAM + int(c).to_bytes(5, "big") for c in codes.tolist()]
-        n += times.tolist()
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000], pa.binary()), pa.array(n[at : at + 100_000], pa.int64())], ["key", "n"])
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = [data.lower() for i, data in zip(ids, texts_of(batch.column(1))) if not is_held_out(i)]
-        ends += len(texts)
-        for data in texts:
-            words.update(data.split())
-        part: list[np.ndarray] = []
-        size = 0
-        for k, data in enumerate(texts):
-            part.append(ctw.grams(data))
-            size += len(data)
-            if size > 8 << 20 or k == len(texts) - 1:
-                found, n = ctw.counted(np.concatenate(part))
-                codes, times = ctw.counted(np.concatenate([codes, found]), np.concatenate([times, n]))
-                part, size = [], 0
-        if len(words) + len(codes) > GATHERED:
+        for i, data in zip(ids, texts_of(batch.column(1))):
+            if not is_held_out(i):
+                ends += 1
+                words.update(data.lower().split())
+        if len(words) > GATHERED:
             yield from made()
-            words, codes, times, ends = Counter(), np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+            words, ends = Counter(), 0
     yield from made()
 
 
 def key_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(key, n)`` of all training documents; a key is a word, the end, or a byte context with its byte."""
+    """``(key, n)`` of all training documents; a key is a word or the end."""
     rows = narrow(docs, doc_id=id_col, text=text_col)
     bound_batches(docs.sparkSession)
     return rows.mapInArrow(_count, "key binary, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(bucket, codes, times)``: partial counts of all documents' byte contexts; held-out documents count 0."""
+    rows = narrow(docs, doc_id=id_col, text=text_col)
+    bound_batches(docs.sparkSession)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def made(codes: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = ctw.buckets_of(codes, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, codes, times = bucket[order], codes[order], times[order]
+        found, first = np.unique(bucket, return_index=True)
+        cuts = [slice(a, b) for a, b in zip(first.tolist(), [*first.tolist()[1:], len(bucket)])]
+        arrays = [pa.array(found.astype(np.int32)), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (codes, times))]
+        yield pa.RecordBatch.from_arrays(arrays, ["bucket", "codes", "times"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            trained, held, size = [], [], 0
+            for k, (i, data) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))):
+                (held if is_held_out(i) else trained).append(ctw.grams(data.lower()))
+                size += len(data)
+                if size > 8 << 20 or k == batch.num_rows - 1:
+                    for part, weight in ((trained, 1), (held, 0)):
+                        if part:
+                            found, n = ctw.counted(np.concatenate(part))
+                            codes, times = ctw.counted(np.concatenate([codes, found]), np.concatenate([times, n * weight]))
+                    trained, held, size = [], [], 0
+            if len(codes) > GATHERED:
+                yield from made(codes, times)
+                codes, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(codes):
+            yield from made(codes, times)
+
+    return rows.mapInArrow(count, "bucket int, codes binary, times binary")
+
+
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row for each row of the input.
 
@@ -91,21 +119,21 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ensure_checkpoint_dir(spark)
     counts = key_counts(docs, id_col, text_col).checkpoint()
     kind = F.substring("key", 1, 1)
-    gram = F.conv(F.hex(F.substring("key", 2, 5)), 16, 10).cast("long")
-    model = ctw.learn(counts.where(kind == F.lit(GRAM)).select(gram.alias("code"), "n"))
-    tokens = counts.where(kind != F.lit(GRAM))
-    n_train, n_types = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words = tokens.where(kind == F.lit(WORD)).select(F.substring("key", 2, 1 << 30).alias("word"), "n")
+    grams = ctw.learn(gram_counts(docs, id_col, text_col)).checkpoint()
+    n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    words = counts.where(kind == F.lit(WORD)).select(F.substring("key", 2, 1 << 30).alias("word"), "n")
     least = ctw.frequent(words, "n", HEAD)
     head = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}  # HEAD rows at most
-    n_ends = next((r["n"] for r in tokens.where(kind == F.lit(END_KEY)).collect()), 0)
+    n_ends = next((r["n"] for r in counts.where(kind == F.lit(END_KEY)).collect()), 0)
     under = n_train + SMOOTHING * (n_types + 1)
-    shared = spark.sparkContext.broadcast((head, tuple(model)))  # plain parts: broadcasts are unpickled by reference
+    least_gram = ctw.frequent(grams.where("n > 0"), "n", GRAM_HEAD)
+    found = grams.where(F.col("n") >= least_gram).select("code", "n", "log").toArrow()  # GRAM_HEAD rows at most
+    codes, order = found.column("code").to_numpy().astype(np.uint64), np.argsort(found.column("code").to_numpy())
+    shared = spark.sparkContext.broadcast((head, codes[order], found.column("n").to_numpy()[order], found.column("log").to_numpy()[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts = shared.value
-        model = ctw.Model(*parts)
-        index = model.index()
+        known, *parts = shared.value
+        of = ctw.Head(*parts)
         logs = {w: float(np.log10((n + SMOOTHING) / under)) for w, n in known.items()}
         end = float(np.log10((n_ends + SMOOTHING) / under))
         for batch in batches:
@@ -114,6 +142,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 row, hashed, word, number, n_known, base, whole = [], [], [], [], [], [], []
                 for i, data in enumerate(texts_of(part.column(1))):
                     data = data.lower()
+                    grams = ctw.grams(data)
+                    gram_logs, rare = of(grams)
                     digest = int(np.uint64(xxhash.xxh64_intdigest(data)).astype(np.int64))
                     found = Counter(data.split())
                     n, hits, sum_ = 1, int(n_ends > 0), end
@@ -127,7 +157,9 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             row.append(i), hashed.append(digest), word.append(w), number.append(k), n_known.append(0), base.append(0.0), whole.append(0.0)
                     # no word has a space: this key meets no count, and spreads the rows
                     row.append(i), hashed.append(digest), word.append(b" %d" % digest), number.append(n)
-                    n_known.append(hits), base.append(sum_), whole.append(model.score(data, index))
+                    n_known.append(hits), base.append(sum_), whole.append(float(gram_logs.sum()))
+                    for c, k in zip(*map(np.ndarray.tolist, ctw.counted(grams[rare]))):
+                        row.append(i), hashed.append(digest), word.append(GRAM + c.to_bytes(5, "big")), number.append(k), n_known.append(0), base.append(0.0), whole.append(0.0)
                 ids = part.column(0).take(pa.array(row, pa.int32()))
                 arrays = [pa.array(hashed, pa.int64()), pa.array(word, pa.binary()), pa.array(number, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(whole, pa.float64())]
                 yield pa.RecordBatch.from_arrays([ids, *arrays], ["doc_id", "digest", "word", "number", "n_known", "base", "score"])
@@ -136,16 +168,18 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(spark)
     type_ = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(score, f"doc_id {type_}, digest bigint, word binary, number bigint, n_known bigint, base double, score double")
-    tail = words.where(F.col("n") < least)
+    key = F.concat(F.lit(GRAM), F.unhex(F.lpad(F.hex("code"), 10, "0")))
+    rare = grams.where(F.col("n") < least_gram).select(key.alias("word"), F.lit(None).cast("long").alias("n"), "log")
+    tail = words.where(F.col("n") < least).select("word", "n", F.lit(None).cast("double").alias("log")).unionByName(rare)
     met = scored.join(tail, "word", "left")
-    own = F.substring("word", 1, 1) == F.lit(b" ")
+    own, gram = (F.substring("word", 1, 1) == F.lit(first) for first in (b" ", GRAM))
     log = F.log10((F.coalesce("n", F.lit(0)) + SMOOTHING) / F.lit(under))
     sums = met.groupBy("doc_id", "digest").agg(
         F.count(F.when(own, 1)).alias("rows"),
         F.sum(F.when(own, F.col("number")).otherwise(0)).alias("n_tokens"),
         F.sum(F.when(own, F.col("n_known")).when(F.col("n").isNotNull(), F.col("number")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("number") * log)).alias("base_score"),
-        F.sum("score").alias("score"),
+        F.sum(F.when(own, F.col("base")).when(~gram, F.col("number") * log).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(gram, F.col("number") * F.col("log")).otherwise(F.col("score"))).alias("score"),
     )
     per = lambda c: F.floor(F.col(c) / F.col("rows")).cast("long").alias(c)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
