@@ -1,6 +1,7 @@
 """Personal data in SQL functions: format-preserving Feistel pseudonyms.
 
-Candidates are found by one pattern; each is validated (Luhn, calendar, octets, ranges).
+Candidates are found by one pattern; each is validated (Luhn, calendar, octets, ranges). The candidate
+of a card is a whole run of digit groups; in it, every length from 19 down to 13 is tried at each group.
 A valid number or date is mapped to a pair (a, b) of Z_A x Z_B, permuted by eight rounds of a
 keyed Feistel network in mixed radix, and written back in the layout it had. The map is a
 bijection of each format onto itself, so values that were equal stay equal and others stay
@@ -20,12 +21,15 @@ from sylvane.functions.binding import let
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 NOT_INSIDE = r"(?<![\p{L}\p{N}._%+-])"
 NUMBER = r"(?<![\p{L}\d.])(?<!\d[-/])"
+#: Where a run of digit groups gives way to another kind: a telephone number at its start, any after a space.
+PHONE = r"\d{3}[.-]\d{3}[ .-]\d{4}(?![\d\p{L}])"
+OTHER = rf"{OCTET}(?:\.{OCTET}){{3}}(?![\d\p{{L}}])|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}(?![\d\p{{L}}])|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}(?![\d\p{{L}}])|\d{{3}}-\d{{2}}-\d{{4}}(?![\d\p{{L}}])(?!-\d)|{PHONE}(?!-\d)|[\p{{L}}\p{{N}}._%+-]++@"
 PATTERNS = {
     "email": NOT_INSIDE + r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=\.[A-Za-z]{2,24})",
     "ip": NUMBER + OCTET + r"(?:\." + OCTET + r"){3}(?![\d\p{L}])(?!\.\d)",
     "date": NUMBER + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d\p{L}])",
     "ssn": NUMBER + r"\d{3}-\d{2}-\d{4}(?![\d\p{L}])(?!-\d)",
-    "card": NUMBER + r"\d(?:[ -]?\d){12,18}(?![\d\p{L}])",
+    "card": NUMBER + rf"(?!{PHONE}(?!-\d))(?=\d(?:[ -]?\d){{12}})\d++(?!\p{{L}})(?:(?:-| (?!{OTHER}))\d++(?!\p{{L}}))*+",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\d\p{L}])|(?<![\p{L}\d])\+\d{1,3}[ .-]?\d{10}(?![\d\p{L}])",
 }
 KINDS = tuple(PATTERNS)
@@ -60,6 +64,37 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), add)
 
 
+def _is_card(digits: Column) -> Column:
+    return (luhn_sum(digits) % 10 == 0) & digits.rlike("^[2-6]")
+
+
+def _cards(gap: Column, run: Column) -> Column:
+    """(gap, match) of the cards in a run of digit groups, leftmost and longest first; the last match is empty."""
+    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+
+    def card(window: Column) -> Column:
+        tried = F.array(*[F.regexp_extract(window, rf"^[ -]?(\d(?:[ -]?\d){{{n - 1}}})(?!\d)", 1) for n in range(19, 12, -1)])
+        return F.get(F.filter(tried, lambda t: (t != "") & _is_card(_digits(t))), F.lit(0))
+
+    def found(g: Column) -> Column:
+        # 19 groups hold the longest card, and one of over 19 digits is in none
+        short = F.transform(g, lambda x: F.left(x, F.lit(21)))
+        return F.transform(g, lambda x, i: F.struct(x.alias("text"), card(F.array_join(F.slice(short, i + 1, F.lit(19)), "")).alias("card")))
+
+    def step(s: Column, n: Column) -> Column:
+        pair = F.struct(F.concat(s["gap"], F.regexp_extract(n["text"], "^[ -]?", 0)).alias("gap"), n["card"].alias("match"))
+        state = lambda gap, skip, out: F.struct(gap.alias("gap"), skip.cast("int").alias("skip"), out.alias("out"))
+        return (
+            F.when(s["skip"] > 0, state(s["gap"], s["skip"] - 1, s["out"]))
+            .when(n["card"].isNull(), state(F.concat(s["gap"], n["text"]), F.lit(0), s["out"]))
+            .otherwise(state(F.lit(""), F.regexp_count(n["card"], F.lit("[ -]")), F.concat(s["out"], F.array(pair))))
+        )
+
+    zero = F.struct(gap.alias("gap"), F.lit(0).alias("skip"), F.array().cast("array<struct<gap:string,match:string>>").alias("out"))
+    whole = lambda s: F.concat(s["out"], F.array(F.struct(s["gap"].alias("gap"), F.lit("").alias("match"))))
+    return let(groups, lambda g: F.aggregate(found(g), zero, step, whole))
+
+
 def _relaid(match: Column, digits: Column) -> Column:
     """The match with its digits replaced, one by one, by the given ones."""
     chars = F.transform(
@@ -113,7 +148,7 @@ def _coded(match: Column) -> Column:
     half = F.floor((n - 2) / 2).cast("int")
     power = lambda k: F.pow(F.lit(10), k).cast("long")
     line = F.right(digits, F.lit(10))
-    card = (luhn_sum(digits) % 10 == 0) & digits.rlike("^[2-6]")
+    card = n.between(13, 19) & _is_card(digits)
     ssn = (area >= 1) & (area != 666) & (area < 900) & (group >= 1) & (serial >= 1)
     return (
         F.when(full("email"), _pair("email", 0, 0, 1, 1))
@@ -175,6 +210,14 @@ def pseudonymised(rows: DataFrame, text: str, key: str) -> DataFrame:
     cut = rows.select("*", F.when(may, F.regexp_extract_all(value, F.lit(pattern), F.lit(0))).otherwise(none).alias("__match"))
     some = F.size("__match") > 0
     cut = cut.select("*", F.when(some, F.split(value, pattern)).otherwise(none).alias("__gap"))
+    is_run = lambda m: m.rlike(r"^\d[\d -]+$") & m.rlike("^(?:" + PATTERNS["card"] + ")$")
+    plain = lambda g, m: F.array(F.struct(g.alias("gap"), m.alias("match")))
+    pairs = F.flatten(F.zip_with(F.slice("__gap", F.lit(1), F.size("__match")), "__match", lambda g, m: F.when(is_run(m), _cards(g, m)).otherwise(plain(g, m))))
+    cut = cut.select("*", F.when(F.exists("__match", is_run), pairs).alias("__pairs"))
+    gaps = F.concat(F.transform("__pairs", lambda x: x["gap"]), F.slice("__gap", F.size("__match") + 1, F.lit(1)))
+    matches = F.transform("__pairs", lambda x: x["match"])
+    split = F.col("__pairs").isNotNull()
+    cut = cut.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(split, matches).otherwise(F.col("__match")).alias("__match"), F.when(split, gaps).otherwise(F.col("__gap")).alias("__gap"))
 
     def judge(m: Column, i: Column) -> Column:
         return let(_coded(m), lambda x: F.struct(x["kind"].alias("kind"), F.when(x.isNull(), m).otherwise(let(_permuted(key, x), lambda p: _written(key, m, x, p))).alias("to")))

@@ -108,3 +108,20 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert whole.columns == odd_docs.columns and whole.count() == len(odd_rows)
     assert pii.pseudonymise(no_docs, KEY).count() == 0
     assert "Python" not in whole._jdf.queryExecution().toString()
+
+
+def test_cards_beside_other_numbers(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [
+        f"{card} 12/26", f"{spaced} 123", f"12 34 {spaced}", f"no 7 {card}", f"{card} 5500-0000-0000-0004 99", f"{spaced} 12a", f"41111111 11111111 12",
+        f"{card} 2001-02-28", f"{card} 10.20.30.40", f"743-555-3824 {card}", f"123-45-6789 {card} 1", f"{card} 12@x.example.com", "9" * 5000 + f" {card} " + "1 " * 500,
+    ]
+    kinds = [["card"]] * 4 + [["card", "card"], ["card"], ["card"], ["card", "date"], ["card", "ip"], ["phone", "card"], ["ssn", "card"], ["card", "email"], ["card"]]
+    for text, expected, row in zip(texts, kinds, found(spark, *texts)):
+        assert [x["kind"] for x in row["pii"]] == expected, text
+        out, at = "", 0
+        for x in row["pii"]:
+            if x["kind"] == "card":
+                assert 13 <= len(re.sub(r"\D", "", text[x["start"] : x["end"]])) <= 19 and luhn(re.sub(r"\D", "", text[x["start"] : x["end"]])) % 10 == 0
+            out, at = out + text[at : x["start"]] + x["pseudonym"], x["end"]
+        assert row["text"] == out + text[at:] and card not in row["text"] and spaced not in row["text"]
