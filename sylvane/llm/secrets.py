@@ -4,7 +4,7 @@ Strong findings stand alone: assignments to a secret's name, access keys, long h
 Weak candidates (identifiers, unnamed secret-like tokens, endpoints) are ordinary text most
 of the time; they are reported only when a complementary part lies within their scope. Parts
 and scopes meet in an interval join: the scope of a candidate reaches ``SCOPE`` code points to
-either side and covers at most three cells of that width, a part lies in the cell of its
+either side and covers the cells of that width that it touches, a part lies in the cell of its
 start, and equal cells of a document are joined. A cell holds a bounded number of parts, so
 no document, however long or full, makes all pairs of its parts.
 """
@@ -25,7 +25,7 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_NAME = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 LEAST_ASSIGNED = 12
 IDENTIFIER = r"""(?i)(?<![A-Za-z0-9_])(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|tenant_?id|access_?key(?:_?id)?|key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@+_.-]{3,128}"""
-SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,127}\d)(?=[A-Za-z0-9+/_-]{0,127}[a-z])(?=[A-Za-z0-9+/_-]{0,127}[A-Z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"
+SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"""(?i)(?<![a-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._@:-]{3,200}(?:/[a-z0-9._/-]{0,200})?|(?<![a-z0-9_])(?:host(?:name)?|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}"""
 #: What may occur where a pattern can match at all; a cheap first look at the whole text.
 HINTS = {"identifier": r"(?i)(?:user|login|account|client|tenant|key)", "secret": r"[A-Za-z0-9+/_-]{20}", "endpoint": r"://|(?i)(?:host|endpoint|server)"}

@@ -53,3 +53,13 @@ def test_against_brute_force(spark, odd_docs, odd_rows, no_docs):
     given = {d: t or "" for d, t, *_ in odd_rows}
     assert len(odd) == len(odd_rows) and all(r["base"] == shown(base(given[r["doc_id"]])) and r["spans"] == brute(given[r["doc_id"]]) for r in odd)
     assert S.secret_spans(no_docs).count() == 0
+
+
+def test_long_tokens_are_parts(spark):
+    token = "aB3" * 114
+    texts = [f"user=joe {token[:n]}== host = db.example.com" for n in (128, 129, 342)] + [f"user=joe {'xy3' * 114} x", f"user=joe {'aB3' * 20_000} {'word ' * 79} login=ann"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in S.secret_spans(docs).collect()}
+    for i, n in enumerate((128, 129, 342)):
+        assert rows[i] == f"identifier:0:8,secret:9:{11 + n},endpoint:{12 + n}:{len(texts[i])}"
+    assert rows[3] == "" and rows[4] == f"identifier:0:8,secret:9:60009,identifier:{len(texts[4]) - 9}:{len(texts[4])}"
