@@ -33,6 +33,17 @@ def test_every_low_character_in_context(encode, exact):
     assert encode(texts) == [exact.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("unit", ["\n", " ", "\t", "x", "7", "#", "-=", "ab c\n"])
+def test_long_runs(encode, exact, unit):
+    text = "a " + unit * (1_200_000 // len(unit)) + "b"
+    assert encode([text]) == [exact.encode(text, add_special_tokens=False).ids]
+
+
+def test_ten_megabytes_of_white_space(encode):
+    (ids,) = encode(["a" + "\n" * 10_000_000])
+    assert len(ids) > 1_000_000 and len(set(ids[5:-5])) == 1
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_plan_places_everything_and_is_near_the_bound(histogram):
