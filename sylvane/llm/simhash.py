@@ -117,14 +117,8 @@ def near_pairs(fps: DataFrame, distance: int = 3, pivots: int = PIVOTS, blocks:
     return a.join(b, kept).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row for each row of the input.
-
-    component_id is the least id reachable over links. Null or empty texts and texts without
-    words have fingerprint zero and are linked like any other. Repeated rows and repeated ids
-    give repeated rows of the result. Rows with a null id take part; their component is null
-    only where no document reachable has an id. An empty table gives an empty result.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """``(doc_id, fp, root, component_id)``; root is a fingerprint that names the component."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     fps = fingerprints(docs, id_col, text_col).checkpoint()
@@ -133,24 +127,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_pairs(classes.select("fp"), distance, blocks=blocks)).withColumnsRenamed({"node": "fp"})
     linked = classes.join(roots, "fp").checkpoint()
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    linked = linked.join(lowest, "root").select("fp", "lowest")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")).checkpoint()
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(lowest, "root").select("fp", "root", "lowest")
+    named = classes.join(linked, "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "least").alias("component_id")).checkpoint()
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row for each row of the input.
+
+    component_id is the least id reachable over links. Null or empty texts and texts without
+    words have fingerprint zero and are linked like any other. Repeated rows and repeated ids
+    give repeated rows of the result. Rows with a null id take part; their component is null
+    only where no document reachable has an id. A bit that half of a text's shingles have is
+    clear. A very long text is hashed in parts of ``CHUNK`` shingles. Further columns are not
+    read. An empty table gives an empty result.
+    """
+    return _classified(docs, id_col, text_col, distance).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that are not the first (by id) of their component.
+    """One document of each component, with all its columns: the one with the least id.
 
-    All columns stay. Rows with a null id stay, as nothing can name them. Of rows that
-    repeat an id one stays.
+    Texts without words (null, empty, blank) are one component like any other. An id that
+    occurs with texts of several components stays once in each that it leads. Among rows of
+    equal id and fingerprint, and where no row of a component has an id, a hash of the whole
+    row decides, so the choice doesn't depend on the order of rows. An empty table gives none.
     """
-    found = near_duplicates(docs, id_col, text_col).checkpoint()
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    names = docs.columns
-    plain = numbered(docs)
-    key = f"__c{names.index(id_col)}"
-    kept = plain.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where(F.col(key).isNotNull()).dropDuplicates([key])
-        kept = named.unionByName(kept.where(F.col(key).isNull()))
-    return kept.toDF(*names)
+    found = _classified(docs, id_col, text_col, 3).checkpoint()
+    names, plain = docs.columns, numbered(docs)
+    key, text = (f"__c{names.index(c)}" for c in (id_col, text_col))
+    uneven = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not uneven:
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        return plain.join(gone, F.col(key) == F.col("__gone"), "left_anti").toDF(*names)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "fp")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.fp").alias("__fp"))
+    hashed = [c for c, field in zip(plain.columns, docs.schema) if "map<" not in field.dataType.simpleString()]
+    rows = plain.withColumn("__h", F.xxhash64(*hashed))
+    marked = fingerprints(rows.select(F.struct(key, "__h").alias("doc_id"), F.col(text).alias("text")))
+    marked = marked.select(F.col(f"doc_id.{key}").alias("__id"), F.col("doc_id.__h").alias("__h"), F.col("fp").alias("__fp"))
+    led = marked.join(first, marked["__id"].eqNullSafe(first["__id"]) & (marked["__fp"] == first["__fp"]), "left_semi")
+    least = led.groupBy("__id", "__fp").agg(F.min("__h").alias("__least")).select(F.col("__id").alias("__kept"), "__least")
+    kept = rows.join(least, F.col(key).eqNullSafe(F.col("__kept")) & (F.col("__h") == F.col("__least")), "left_semi")
+    return kept.dropDuplicates([key, "__h"]).drop("__h").toDF(*names)

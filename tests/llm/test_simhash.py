@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sylvane.llm import simhash as S
 from sylvane.llm.components import components
@@ -70,9 +71,29 @@ def test_documents(spark, odd_docs, odd_rows, no_docs):
     assert kept.columns == odd_docs.columns
     ids = [r[0] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({d for d, _, c in expected if d is not None and d == c}) and ids.count(None) == 1
+    assert len(ids) == len(set(root))
     assert S.near_duplicates(no_docs).count() == 0 and S.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    long_ = "one two three four five six seven eight nine ten " * 3
+    texts = [(1, long_), (1, "quite another text about rivers and boats"), (2, long_), (1, long_), (None, "no id here at all"), (None, "no id here at all"), (None, None), (5, " "), (6, "")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts)], "doc_id long, text string, row int")
+    kept, again = (sorted((r["doc_id"] or 0, r["text"], r["row"]) for r in S.drop_near_duplicates(rows).collect()) for rows in (docs, docs.orderBy(F.desc("row")).coalesce(2)))
+    assert kept == again and [r[:2] for r in kept] == [(0, "no id here at all"), (1, long_), (1, "quite another text about rivers and boats"), (5, " ")]
+
+
+def test_pivots_discard_most_bucket_mates(spark):
+    """Of random fingerprints that share a bucket, the distances to the pivots tell all but a few apart before any bit is compared."""
+    rng = np.random.default_rng(9)
+    mask = int(np.uint64(S._masks(5, 2)[0] & (1 << 64) - 1))
+    values = (rng.integers(0, 1 << 63, 400, dtype=np.uint64) & np.uint64(~mask & (1 << 64) - 1)).view(np.int64).tolist()
+    rows = spark.createDataFrame([(v,) for v in values], "fp long").select("fp", *S.pivot_table(F.col("fp"), S.reference_fingerprints()))
+    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.fp") < F.col("b.fp"))
+    passed = pairs.where(S._within("a", "b", 2, S.PIVOTS, 3)).count()
+    assert passed < 0.05 * pairs.count()
+
+
 def test_long_texts_are_counted_in_parts(monkeypatch):
     text = " ".join(f"w{i % 50}" for i in range(2000))
     whole = S.fingerprint(text.encode())
