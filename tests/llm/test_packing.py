@@ -35,7 +35,7 @@ def test_every_low_character_in_context(encode, exact):
 
 @pytest.mark.parametrize("unit", ["\n", " ", "\t", "x", "7", "#", "-=", "ab c\n"])
 def test_long_runs(encode, exact, unit):
-    text = "a " + unit * (1_200_000 // len(unit)) + "b"
+    text = "a " + unit * ((1_200_000 if unit.isspace() else 100_000) // len(unit)) + "b"
     assert encode([text]) == [exact.encode(text, add_special_tokens=False).ids]
 
 
