@@ -10,6 +10,7 @@ are cut before each run of marks and each cut is segmented once and remembered.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
@@ -25,8 +26,8 @@ from sylvane.llm.batches import bound_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segmented cuts that a task remembers, in two generations.
-MEMO = 800_000
+#: Segmented cuts that a task remembers, in two generations, and the characters of the longest; longer ones are segmented anew.
+MEMO, MEMO_LENGTH = 800_000, 64
 #: The rank of a pair that makes no piece.
 NO_PIECE = 1 << 60
 
@@ -117,7 +118,7 @@ class PieceModel:
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         self.scores: list[float] = []
-        kind_of_model = 1
+        kind_of_model, spec = 1, {}
         with open(path, "rb") as file:
             data = file.read()
         for number, value in fields(data):
@@ -128,10 +129,10 @@ class PieceModel:
                 self.kinds.append(piece.get(3, NORMAL))
             elif number == 2:
                 kind_of_model = dict(fields(value)).get(3, 1)
-            elif number == 3:
-                spec = dict(fields(value))
-                self.map = CharacterMap(spec[2]) if spec.get(2) else None
-                self.prefix, self.strip, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
+            elif number == 3:  # a message that comes in parts is merged
+                spec |= dict(fields(value))
+        self.map = CharacterMap(spec[2]) if spec.get(2) else None
+        self.prefix, self.strip, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         if kind_of_model != 2 or USER in self.kinds or UNUSED in self.kinds:
             raise ValueError("only BPE models without user-defined or unused pieces")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
@@ -311,12 +312,12 @@ class PieceModel:
         return whole
 
 
+codecs.register_error("sylvane.each", lambda wrong: ("�", wrong.start + 1))
+
+
 def _utf8(data: bytes) -> str:
     """UTF-8 with a replacement character for each byte that is part of no character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as wrong:
-        return data[: wrong.start].decode() + "�" + _utf8(data[wrong.start + 1 :])
+    return data.decode(errors="sylvane.each")
 
 
 class _Memo(dict):
@@ -330,7 +331,8 @@ class _Memo(dict):
         value = self.before.get(key)
         if value is None:
             value = self.function(key)
-        self[key] = value
+        if len(key) <= MEMO_LENGTH:
+            self[key] = value
         return value
 
     def turn(self) -> None:
@@ -347,6 +349,7 @@ COLUMNS = {
     "decoded": "string",
     "ids_sha256": "string",
     "decoded_sha256": "string",
+    "spans_sha256": "string",
 }
 TYPES = {"bigint": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "string": pa.string()}
 
@@ -357,8 +360,12 @@ def encode_documents(
     """``doc_id`` and the asked columns (see ``COLUMNS``), one row for each row of the input.
 
     begins and ends are byte offsets into the text's UTF-8. ids_sha256 is of the decimal ids
-    joined by commas, decoded_sha256 of the decoded text, both lowercase hex. Null counts as
-    empty: no ids. Repeated rows give repeated results; an empty table gives none.
+    joined by commas, decoded_sha256 of the decoded text, spans_sha256 of the ends as signed
+    64-bit little-endian numbers (a piece begins where the one before it ends), all lowercase
+    hex. Null counts as empty: no ids. Texts of any length are encoded whole; a very long one
+    without spaces or line feeds is one cut, segmented with a heap. Of pairs with equal scores
+    the leftmost is merged first. Repeated rows give repeated results; further columns are
+    not read; an empty table gives none.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col)
     bound_batches(docs.sparkSession)
@@ -369,6 +376,8 @@ def encode_documents(
         if len(ends) and (ends[-1] != len(text.encode()) or (np.diff(ends) < 0).any()):
             raise AssertionError("the pieces' spans don't cover the text")
         made = {"n_tokens": len(ids), "ids": ids, "begins": begins, "ends": ends}
+        if "spans_sha256" in columns:
+            made["spans_sha256"] = hashlib.sha256(np.asarray(ends, "<i8").tobytes()).hexdigest()
         if "ids_sha256" in columns:
             made["ids_sha256"] = hashlib.sha256(",".join(map(model.names.__getitem__, ids)).encode()).hexdigest()
         if "decoded" in columns or "decoded_sha256" in columns:

@@ -28,7 +28,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_documents(documents(spark, sf_dir), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return pieces.encode_documents(documents(spark, sf_dir), path, ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"))
 
 
 #: The key of the pseudonyms; a production run takes its own.
