@@ -5,8 +5,9 @@ Weak candidates (identifiers, unnamed secret-like tokens, endpoints) are ordinar
 of the time; they are reported only when a complementary part lies within their scope. Parts
 and scopes meet in an interval join: the scope of a candidate reaches ``SCOPE`` code points to
 either side and covers the cells of that width that it touches, a part lies in the cell of its
-start, and equal cells of a document are joined. A cell holds a bounded number of parts, so
-no document, however long or full, makes all pairs of its parts.
+start, and equal cells of a document are joined. Of the parts of a cell only the first and the
+last of each role are needed, so no document, however long or full, makes pairs of its parts. Weak candidates are looked
+for in what the base spans leave of a text, so that none repeats a strong finding.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sylvane.frames import narrow
 from sylvane.functions.binding import let
+from sylvane.llm.spans import spans
 from sylvane.session import ensure_checkpoint_dir
 
 # The patterns, with the least length of what counts.
@@ -24,11 +26,13 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_NAME = r"""^(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 LEAST_ASSIGNED = 12
-IDENTIFIER = r"""(?i)(?<![A-Za-z0-9_])(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|tenant_?id|access_?key(?:_?id)?|key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@+_.-]{3,128}"""
-SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"""(?i)(?<![a-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._@:-]{3,200}(?:/[a-z0-9._/-]{0,200})?|(?<![a-z0-9_])(?:host(?:name)?|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}"""
+#: What base spans are blanked with before weak candidates are looked for; it parts words, but ends no candidate.
+BLANK = "\0"
+IDENTIFIER = r"""(?i)(?<![A-Za-z0-9_\x00])(?:user(?:name|_?id)?|login|account(?:_?id)?|client_?id|tenant_?id|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+_.-]{3,}"""
+SECRET = r"(?<![A-Za-z0-9+/_=\x00-])(?=[A-Za-z+/_-]*\d)(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=\x00-])"
+ENDPOINT = r"""(?i)(?<![a-z0-9])(?:https?|ftp|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[a-z0-9._@:-]{3,}(?:/[a-z0-9._/-]*)?|(?<![a-z0-9_])(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9-]+\.[a-z0-9.-]*[a-z0-9-]"""
 #: What may occur where a pattern can match at all; a cheap first look at the whole text.
-HINTS = {"identifier": r"(?i)(?:user|login|account|client|tenant|key)", "secret": r"[A-Za-z0-9+/_-]{20}", "endpoint": r"://|(?i)(?:host|endpoint|server)"}
+HINTS = {"assign": r"(?i)passw|secret|token|api_?key", "access": "AKIA", "hex": r"[0-9a-f]{16}", "identifier": r"(?i)(?:user|login|account|client|tenant|key)", "secret": r"[A-Za-z0-9+/_-]{20}", "endpoint": r"://|(?i)(?:host|endpoint|server)"}
 
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 WEAK = {"identifier": IDENTIFIER, "secret": SECRET, "endpoint": ENDPOINT}
@@ -37,39 +41,42 @@ SCOPE = 400
 #: The role of each kind; a candidate is linked to a part of another role.
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "secret": "secret", "endpoint": "endpoint"}
 
-SPAN = "array<struct<start:int,end:int>>"
 
+NONE = "array<struct<kind:int,start:int,end:int>>"
 
-def spans(text: Column, pattern: str) -> Column:
-    """(start, end, match) of the pattern's matches, leftmost and non-overlapping, in code points."""
 
-    def place(s: Column, n: Column) -> Column:
-        made = lambda start: F.struct(
-            (start + F.char_length(n["m"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct(start.alias("start"), (start + F.char_length(n["m"])).alias("end"), n["m"].alias("m")))).alias("found"),
-        )
-        return let(s["at"] + F.char_length(n["g"]), made)
+def _of_kind(text: Column, kind: str) -> Column:
+    """(kind number, start, end) of a kind's spans."""
+    found, i = spans(text, (BASE | WEAK)[kind]), KINDS.index(kind)
+    if kind == "assign":
+        found = F.filter(found, lambda x: F.char_length(F.regexp_replace(x["m"], ASSIGN_NAME, "")) >= LEAST_ASSIGNED)
+    found = F.transform(found, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(NONE))
 
-    def of(matches: Column) -> Column:
-        gaps = F.split(text, pattern)
-        both = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("found"))
-        return F.when(F.size(matches) == 0, zero["found"]).otherwise(F.aggregate(both, zero, place)["found"])
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+def blanked(text: Column) -> Column:
+    """The text with its base spans overwritten, code point by code point."""
+
+    def without(t: Column, pattern: str) -> Column:
+        def of(matches: Column) -> Column:
+            worth = lambda m: F.char_length(F.regexp_replace(m, ASSIGN_NAME, "")) >= LEAST_ASSIGNED if pattern == ASSIGN else F.lit(True)
+            filled = F.transform(matches, lambda m: F.when(worth(m), F.repeat(F.lit(BLANK), F.char_length(m))).otherwise(m))
+            gaps = F.split(t, pattern)
+            return F.when(F.size(matches) == 0, t).otherwise(F.array_join(F.flatten(F.zip_with(gaps, filled, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), ""))
+
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), of)
+
+    for kind in BASE:
+        now = text
+        text = let(now, lambda t: F.when(t.rlike(HINTS[kind]), without(t, BASE[kind])).otherwise(t))  # noqa: B023
+    return text
 
 
 def _located(text: Column) -> Column:
     """All spans, base and weak, as an array of (kind number, start, end)."""
-    parts = []
-    for i, (kind, pattern) in enumerate((BASE | WEAK).items()):
-        found = spans(text, pattern)
-        if kind == "assign":
-            found = F.filter(found, lambda x: F.char_length(F.regexp_replace(x["m"], ASSIGN_NAME, "")) >= LEAST_ASSIGNED)
-        found = F.transform(found, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))  # noqa: B023
-        hint = {"assign": r"(?i)passw|secret|token|api_?key", "access": "AKIA", "hex": r"[0-9a-f]{16}"}.get(kind) or HINTS[kind]
-        parts.append(F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int>>")))
-    return F.concat(*parts)
+    base = F.concat(*[_of_kind(text, kind) for kind in BASE])
+    weak = lambda t: F.concat(*[_of_kind(t, kind) for kind in WEAK])
+    return let(base, lambda b: F.concat(b, let(F.when(F.size(b) > 0, blanked(text)).otherwise(text), weak)))
 
 
 def _joined(found: Column) -> Column:
@@ -82,26 +89,24 @@ def _joined(found: Column) -> Column:
 def linked(found: DataFrame) -> DataFrame:
     """``(key, spans)``: the weak spans of each key that have a complementary part in scope.
 
-    ``found`` has a unique ``key`` and ``spans``, an array of (kind, start, end). Weak parts
-    inside a base span repeat it and are left out. A part counts if its start is at most
-    ``SCOPE`` code points before the candidate's start or after its end, and its role is
-    another one; a candidate must see a secret, or be one and see an identifier or endpoint.
+    ``found`` has a unique ``key`` and ``spans``, an array of (kind, start, end), in which no
+    weak span overlaps a base one. A part counts if its start is at most ``SCOPE`` code points
+    before the candidate's start or after its end, and its role is another one; a candidate
+    must see a secret, or be one and see an identifier or endpoint.
     """
     n_base = len(BASE)
-    roles = F.array(*[F.lit(ROLES[k]) for k in KINDS])
-    weak = F.filter("spans", lambda x: x["kind"] >= n_base)
-    outside = F.filter(weak, lambda x: ~F.exists("spans", lambda b: (b["kind"] < n_base) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    some = found.where(F.exists("spans", lambda x: x["kind"] >= n_base) & (F.size("spans") > 1)).select("key", F.filter("spans", lambda x: x["kind"] < n_base).alias("base"), outside.alias("weak"))
-    parts = some.select("key", F.explode(F.concat("base", "weak")).alias("p")).select("key", F.col("p.start").alias("at"), F.get(roles, F.col("p.kind")).alias("part"))
-    parts = parts.select("key", "at", "part", F.floor(F.col("at") / SCOPE).alias("cell"))
-    candidates = some.select("key", F.explode("weak").alias("w")).select("key", F.col("w"), F.get(roles, F.col("w.kind")).alias("role"))
+    is_secret = lambda x: x["kind"].isin([i for i, k in enumerate(KINDS) if ROLES[k] == "secret"])
+    some = found.where(F.exists("spans", lambda x: x["kind"] >= n_base) & F.exists("spans", is_secret) & F.exists("spans", lambda x: ~is_secret(x)))
+    parts = some.select("key", F.explode("spans").alias("p"))
+    parts = parts.groupBy("key", F.floor(F.col("p.start") / SCOPE).alias("cell"), is_secret(F.col("p")).alias("secret"))
+    parts = parts.agg(F.min("p.start").alias("first"), F.max("p.start").alias("last"))
+    candidates = some.select("key", F.explode(F.filter("spans", lambda x: x["kind"] >= n_base)).alias("w"))
     reach = F.explode(F.sequence(F.floor(F.greatest(F.col("w.start") - SCOPE, F.lit(0)) / SCOPE), F.floor((F.col("w.end") + SCOPE) / SCOPE)))
     candidates = candidates.select("*", reach.alias("cell"))
     c, p = candidates.alias("c"), parts.alias("p")
-    secret = F.lit("secret")
-    met = (F.col("c.key") == F.col("p.key")) & (F.col("c.cell") == F.col("p.cell"))
-    met &= F.col("p.at").between(F.col("c.w.start") - SCOPE, F.col("c.w.end") + SCOPE)
-    met &= F.when(F.col("c.role") == secret, F.col("p.part") != secret).otherwise(F.col("p.part") == secret)
+    met = (F.col("c.key") == F.col("p.key")) & (F.col("c.cell") == F.col("p.cell")) & (is_secret(F.col("c.w")) != F.col("p.secret"))
+    # a scope is wider than a cell, so at most one of its borders lies in one: first and last part tell whether any is inside
+    met &= (F.col("p.last") >= F.col("c.w.start") - SCOPE) & (F.col("p.first") <= F.col("c.w.end") + SCOPE)
     kept = c.join(p, met, "left_semi").select("key", "w").distinct()
     return kept.groupBy("key").agg(F.collect_list("w").alias("linked"))
 
@@ -110,9 +115,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, n_assign, n_access, n_hex, base, spans)``, one row for each row of the input.
 
     base and spans are "kind:start:end" by start and then kind, joined by commas; start and
-    end are code points. spans adds the linked weak candidates to the base ones. Null and
-    empty texts have none. Rows that repeat an id are told apart by their spans only: those
-    that share them get the same links. An empty table gives an empty result.
+    end are code points. spans adds the linked weak candidates to the base ones; spans that
+    begin at one place are ordered by kind. Null and empty texts have none. Long texts are
+    searched whole, in time linear in their length and findings, and findings may be of any
+    length. Rows that repeat an id are told apart by their spans only: those that share them
+    get the same links. Further columns are not read. An empty table gives an empty result.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = narrow(docs, doc_id=id_col, text=text_col)
@@ -127,5 +134,5 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         *[count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)],
         _joined(base).alias("base"),
-        _joined(F.concat(base, F.coalesce("linked", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"),
+        _joined(F.concat(base, F.coalesce("linked", F.array().cast(NONE)))).alias("spans"),
     )
