@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sylvane.frames import narrow, numbered
 from sylvane.functions.binding import let
+from sylvane.llm.spans import placed, scan
 
 # The patterns of candidates. The first pattern that matches at a place wins.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -25,7 +26,7 @@ NUMBER = r"(?<![\p{L}\d.])(?<!\d[-/])"
 PHONE = r"\d{3}[.-]\d{3}[ .-]\d{4}(?![\d\p{L}])"
 OTHER = rf"{OCTET}(?:\.{OCTET}){{3}}(?![\d\p{{L}}])|\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}(?![\d\p{{L}}])|\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{4}}(?![\d\p{{L}}])|\d{{3}}-\d{{2}}-\d{{4}}(?![\d\p{{L}}])(?!-\d)|{PHONE}(?!-\d)|[\p{{L}}\p{{N}}._%+-]++@"
 PATTERNS = {
-    "email": NOT_INSIDE + r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=\.[A-Za-z]{2,24})",
+    "email": NOT_INSIDE + r"[\p{L}\p{N}._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
     "ip": NUMBER + OCTET + r"(?:\." + OCTET + r"){3}(?![\d\p{L}])(?!\.\d)",
     "date": NUMBER + r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d\p{L}])",
     "ssn": NUMBER + r"\d{3}-\d{2}-\d{4}(?![\d\p{L}])(?!-\d)",
@@ -76,23 +77,29 @@ def _cards(gap: Column, run: Column) -> Column:
         tried = F.array(*[F.regexp_extract(window, rf"^[ -]?(\d(?:[ -]?\d){{{n - 1}}})(?!\d)", 1) for n in range(19, 12, -1)])
         return F.get(F.filter(tried, lambda t: (t != "") & _is_card(_digits(t))), F.lit(0))
 
-    def found(g: Column) -> Column:
+    def step(skip: Column, found: Column) -> Column:
+        """Takes the card that begins at a group, unless one before it reaches here: out is the card or null."""
+        free = (skip == 0) & found.isNotNull()
+        left = F.when(free, F.regexp_count(found, F.lit("[ -]"))).otherwise(F.greatest(skip - 1, F.lit(0)))
+        return F.struct(left.cast("int").alias("state"), F.when(free, found).alias("out"))
+
+    def of(g: Column) -> Column:
         # 19 groups hold the longest card, and one of over 19 digits is in none
         short = F.transform(g, lambda x: F.left(x, F.lit(21)))
-        return F.transform(g, lambda x, i: F.struct(x.alias("text"), card(F.array_join(F.slice(short, i + 1, F.lit(19)), "")).alias("card")))
-
-    def step(s: Column, n: Column) -> Column:
-        pair = F.struct(F.concat(s["gap"], F.regexp_extract(n["text"], "^[ -]?", 0)).alias("gap"), n["card"].alias("match"))
-        state = lambda gap, skip, out: F.struct(gap.alias("gap"), skip.cast("int").alias("skip"), out.alias("out"))
-        return (
-            F.when(s["skip"] > 0, state(s["gap"], s["skip"] - 1, s["out"]))
-            .when(n["card"].isNull(), state(F.concat(s["gap"], n["text"]), F.lit(0), s["out"]))
-            .otherwise(state(F.lit(""), F.regexp_count(n["card"], F.lit("[ -]")), F.concat(s["out"], F.array(pair))))
-        )
+        begun = let(short, lambda v: F.transform(v, lambda x, i: card(F.array_join(F.slice(v, i + 1, F.lit(19)), ""))))
+        taken = scan(begun, F.lit(0), "string", step)
+        return let(F.filter(F.transform(taken, lambda c, i: F.struct(i.alias("at"), c.alias("card"))), lambda x: x["card"].isNotNull()), lambda t: pairs(g, t))
+
+    def pairs(g: Column, t: Column) -> Column:
+        after = lambda x: x["at"] + F.regexp_count(x["card"], F.lit("[ -]")) + 1
+        between = lambda start, end: F.array_join(F.slice(g, start + 1, end - start), "")
+        before = lambda k: F.when(k == 0, F.lit(0)).otherwise(after(F.get(t, k - 1)))
+        gaps = lambda x, k: F.concat(F.when(k == 0, gap).otherwise(F.lit("")), between(before(k), x["at"]), F.regexp_extract(F.get(g, x["at"]), "^[ -]?", 0))
+        each = F.transform(t, lambda x, k: F.struct(gaps(x, k).alias("gap"), x["card"].alias("match")))
+        rest = F.concat(F.when(F.size(t) == 0, gap).otherwise(F.lit("")), between(before(F.size(t)), F.size(g)))
+        return F.concat(each, F.array(F.struct(rest.alias("gap"), F.lit("").alias("match"))))
 
-    zero = F.struct(gap.alias("gap"), F.lit(0).alias("skip"), F.array().cast("array<struct<gap:string,match:string>>").alias("out"))
-    whole = lambda s: F.concat(s["out"], F.array(F.struct(s["gap"].alias("gap"), F.lit("").alias("match"))))
-    return let(groups, lambda g: F.aggregate(found(g), zero, step, whole))
+    return let(groups, of)
 
 
 def _relaid(match: Column, digits: Column) -> Column:
@@ -160,12 +167,12 @@ def _coded(match: Column) -> Column:
     )
 
 
-def _round(key: str, x: Column, r: Column, side: str, other: Column, size: Column) -> Column:
-    mixed = F.sha2(F.concat_ws(":", F.lit(key), x["kind"], x["size_a"].cast("string"), x["size_b"].cast("string"), F.lit(side), r.cast("string"), other.cast("string")), 256)
+def _round(key: Column, x: Column, r: Column, side: str, other: Column, size: Column) -> Column:
+    mixed = F.sha2(F.concat_ws(":", key, x["kind"], x["size_a"].cast("string"), x["size_b"].cast("string"), F.lit(side), r.cast("string"), other.cast("string")), 256)
     return F.pmod(F.conv(F.left(mixed, F.lit(15)), 16, 10).cast("long"), size)
 
 
-def _permuted(key: str, x: Column) -> Column:
+def _permuted(key: Column, x: Column) -> Column:
     """(a, b) after the Feistel rounds: each adds a keyed function of one part to the other, modulo its size."""
 
     def step(s: Column, r: Column) -> Column:
@@ -176,13 +183,13 @@ def _permuted(key: str, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def _written(key: str, match: Column, x: Column, p: Column) -> Column:
+def _written(key: Column, match: Column, x: Column, p: Column) -> Column:
     """The permuted pair in the layout of the match."""
     a, b, kind = p["a"], p["b"], x["kind"]
     digits = _digits(match)
     n = F.char_length(digits)
     text = lambda v, size: F.lpad(v.cast("string"), F.char_length(size.cast("string")) - 1, F.lit("0"))
-    digest = lambda what, v, k: F.left(F.sha2(F.concat(F.lit(f"{key}:{what}:"), v), 256), F.lit(k))
+    digest = lambda what, v, k: F.left(F.sha2(F.concat_ws(":", key, F.lit(what), v), 256), F.lit(k))
     whole = F.lower(match)
     email = F.concat(F.lit("u"), digest("address", whole, 16), F.lit("@d"), digest("domain", F.substring_index(whole, "@", -1), 8), F.lit(".invalid"))
     ip = F.concat_ws(".", *[F.floor(v).cast("long").cast("string") for v in (a / 256, a % 256, b / 256, b % 256)])
@@ -203,7 +210,12 @@ def _written(key: str, match: Column, x: Column, p: Column) -> Column:
 
 
 def pseudonymised(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """The rows with ``__text`` and ``__pii``, an array of (kind, start, end, pseudonym); ``text`` must be unambiguous."""
+    """The rows with ``__text`` and ``__pii``, an array of (kind, start, end, pseudonym); ``text`` must be unambiguous.
+
+    The key is read by a scalar subquery, so no plan, log or user interface shows it.
+    """
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    secret = rows.sparkSession.createDataFrame([(key,)], "key string").scalar()
     pattern, value = _any(), F.col(text)
     may = value.rlike(r"[@\d]")
     none = F.array().cast("array<string>")
@@ -217,25 +229,18 @@ def pseudonymised(rows: DataFrame, text: str, key: str) -> DataFrame:
     gaps = F.concat(F.transform("__pairs", lambda x: x["gap"]), F.slice("__gap", F.size("__match") + 1, F.lit(1)))
     matches = F.transform("__pairs", lambda x: x["match"])
     split = F.col("__pairs").isNotNull()
-    cut = cut.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(split, matches).otherwise(F.col("__match")).alias("__match"), F.when(split, gaps).otherwise(F.col("__gap")).alias("__gap"))
+    cut = cut.select(*own, F.when(split, matches).otherwise(F.col("__match")).alias("__match"), F.when(split, gaps).otherwise(F.col("__gap")).alias("__gap"), secret.alias("__key"))
+    keyed = F.col("__key")
 
-    def judge(m: Column, i: Column) -> Column:
-        return let(_coded(m), lambda x: F.struct(x["kind"].alias("kind"), F.when(x.isNull(), m).otherwise(let(_permuted(key, x), lambda p: _written(key, m, x, p))).alias("to")))
+    def judge(m: Column) -> Column:
+        return let(_coded(m), lambda x: F.struct(x["kind"].alias("kind"), F.when(x.isNull(), m).otherwise(let(_permuted(keyed, x), lambda p: _written(keyed, m, x, p))).alias("to")))
 
     judged = cut.select("*", F.transform("__match", judge).alias("__judged"))
-
-    def place(s: Column, n: Column) -> Column:
-        """Adds a gap and the match after it to (end so far, spans)."""
-        end = lambda start: F.struct((start + n["match"]).alias("at"), F.concat(s["spans"], F.array(F.struct(start.alias("start"), (start + n["match"]).alias("end")))).alias("spans"))
-        return let(s["at"] + n["gap"], end)
-
-    lengths = F.zip_with(F.slice("__gap", F.lit(1), F.size("__match")), "__match", lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("match")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.when(some, F.aggregate(lengths, zero, place)["spans"]).otherwise(zero["spans"])
+    spans = F.when(some, F.transform(placed(F.col("__gap"), F.col("__match")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     text_ = F.when(some, F.array_join(F.flatten(F.zip_with("__gap", "__judged", lambda g, j: F.array(g, F.coalesce(j["to"], F.lit(""))))), "")).otherwise(value)
     merged = F.zip_with("__judged", "__spans", lambda j, s: F.struct(j["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), j["to"].alias("pseudonym")))
-    named = judged.select("*", spans.alias("__spans")).select(*[F.col(f"`{c}`") for c in rows.columns], text_.alias("__text"), merged.alias("__all"))
-    return named.select(*[F.col(f"`{c}`") for c in rows.columns], "__text", F.filter("__all", lambda x: x["kind"].isNotNull()).alias("__pii"))
+    named = judged.select("*", spans.alias("__spans")).select(*own, text_.alias("__text"), merged.alias("__all"))
+    return named.select(*own, "__text", F.filter("__all", lambda x: x["kind"].isNotNull()).alias("__pii"))
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,14 +248,20 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     start and end are code points of the original text. Null text stays null with null or
     no findings; empty text stays empty. Candidates that don't validate stay as they are.
-    Repeated rows give repeated results; an empty table gives none.
+    Long texts are searched whole, in time linear in their length and findings. Where two
+    kinds could match at one place, the first listed in ``PATTERNS`` does. Repeated rows give
+    repeated results; further columns are not read; an empty table gives none.
     """
     rows = pseudonymised(narrow(docs, doc_id=id_col, text=text_col), "text", key)
     return rows.select("doc_id", F.col("__text").alias("text"), F.col("__pii").alias("pii"))
 
 
 def pseudonymise_documents(docs: DataFrame, key: str, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The documents with their text pseudonymised (and its length, where that column exists); all columns stay."""
+    """The documents with their text pseudonymised (and its length, where that column exists); all columns stay.
+
+    Rows are treated as by :func:`pseudonymise`, one for each row of the input, whatever
+    further columns there are.
+    """
     names = docs.columns
     at = names.index(text_col)
     rows = pseudonymised(numbered(docs), f"__c{at}", key)

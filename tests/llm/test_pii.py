@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -125,3 +126,45 @@ def test_cards_beside_other_numbers(spark):
                 assert 13 <= len(re.sub(r"\D", "", text[x["start"] : x["end"]])) <= 19 and luhn(re.sub(r"\D", "", text[x["start"] : x["end"]])) % 10 == 0
             out, at = out + text[at : x["start"]] + x["pseudonym"], x["end"]
         assert row["text"] == out + text[at:] and card not in row["text"] and spaced not in row["text"]
+
+
+def rebuilt(text, row):
+    out, at = [], 0
+    for x in row["pii"]:
+        out += [text[at : x["start"]], x["pseudonym"]]
+        at = x["end"]
+    return "".join(out) + text[at:]
+
+
+def test_time_is_linear_in_the_findings(spark):
+    card = "4111111111111111"
+    for unit, of_unit in ((f"a {card} b 1.2.3.4, x@y.example.com\n", 3), (f"{card} 7 ", 1)):
+        for n in (500, 10_000):
+            text = unit * n
+            began = time.perf_counter()
+            (row,) = found(spark, text)
+            took = time.perf_counter() - began
+            assert len(row["pii"]) == n * of_unit and row["text"] == rebuilt(text, row) and card not in row["text"]
+        assert took < 60
+
+
+def test_megabytes_of_one_unit(spark):
+    units = ("7", "1 ", "1-", "a", "@", ".", "a.", "1.", " ", "\n", "x@", "é", "+1 ")
+    texts = [u * (300_000 // len(u)) for u in units] + ["x@" + "a." * 200_000 + "com", "x@" + "a." * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = {r["doc_id"]: r for r in pii.pseudonymise(docs, KEY).collect()}
+    assert all(rows[i]["text"] == rebuilt(t, rows[i]) for i, t in enumerate(texts))
+    assert [x["kind"] for x in rows[len(units)]["pii"]] == ["email"] and not rows[0]["pii"] and not rows[3]["pii"]
+
+
+def test_the_key_is_in_no_plan(spark, odd_docs):
+    made = pii.pseudonymise(odd_docs, "key-of-this-test")
+    made.collect()
+    for plan in (made._jdf.queryExecution().toString(), made._jdf.queryExecution().analyzed().treeString(), made._jdf.queryExecution().executedPlan().treeString()):
+        assert "key-of-this-test" not in plan
+
+
+def test_domains_of_addresses(spark):
+    texts = ["a@b.com.", "a@b.com.123", "a@b.com1", "a@b.co-x", "a@b", "a@b.example.com, c", "a@.com"]
+    kept = [[t[x["start"] : x["end"]] for x in r["pii"]] for t, r in zip(texts, found(spark, *texts))]
+    assert kept == [["a@b.com"], ["a@b.com"], [], [], [], ["a@b.example.com"], []]
