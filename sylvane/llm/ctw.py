@@ -1,8 +1,8 @@
 """Context-tree weighting over bytes, learned from a corpus and then fixed.
 
 A byte is eight binary decisions, each at one of the 255 nodes that the bits before it name. Each
-decision has a context tree over the four bytes before it. Every node estimates its decision with
-Krichevsky and Trofimov's rule from its counts; bottom up, a node's weighted probability
+decision has a context tree over the ``DEPTH`` bytes before it. Every node estimates its decision
+with Krichevsky and Trofimov's rule from its counts; bottom up, a node's weighted probability
 is the mean of its own estimate's and of the product of its children's, and the ratio of the
 two says how much a context trusts itself against the deeper ones. All depths are mixed so, down
 to the deepest context in which the decision was met.
@@ -11,7 +11,9 @@ Only decisions that were met are stored, and all of them are: no context is drop
 the trees grow with the corpus. Subtrees from depth 3 down are made in the cluster, each whole in
 one bucket of contexts; the driver has the nodes of depths 0 to 2, at most 255 for each pair of bytes.
 
-``weigh`` and what it needs is the same weighting on dense rows of six-bit symbols, for comparison.
+A bucket is one row of packed arrays. Its counts, and later the contexts whose probabilities
+documents ask for, pass through a task as a stream; what a task holds is the bucket's distinct
+contexts, which more buckets make fewer.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, BITS = 4, 6
-SYMBOLS = 1 << BITS
-ESCAPE = SYMBOLS - 1
+#: Bytes of context; with the byte itself they fit in 64 bits up to a depth of 7.
+DEPTH = 5
 #: The byte that ends a text and precedes it; it is no part of UTF-8.
 END = 255
 #: Binary decisions of a byte.
@@ -34,7 +35,7 @@ LEVELS = 8
 
 
 def grams(data: bytes) -> np.ndarray:
-    """A code for each byte of the text and its end: the byte below the four before it."""
+    """A code for each byte of the text and its end: the byte below those before it, the nearest lowest."""
     values = np.frombuffer(bytes([END] * DEPTH) + data + bytes([END]), np.uint8)
     n = len(values) - DEPTH
     code = np.zeros(n, np.uint64)
@@ -69,106 +70,53 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 63 binary nodes, level by level, from rows of symbol counts."""
-    zeros, ones = [], []
-    for level in range(BITS):
-        split = counts.reshape(len(counts), 1 << level, 2, SYMBOLS >> (level + 1)).sum(-1)
-        zeros.append(split[:, :, 0])
-        ones.append(split[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
+#: ln Gamma(n + 1/2) and ln Gamma(n + 1) of small whole numbers.
+_SMALL = 1 << 16
+_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL - 1) + 0.5))]) + 0.5 * np.log(np.pi)
+_WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, _SMALL)))])
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
-
-
-def _symbol_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of all symbols' probabilities from the probability of 1 at each binary node."""
-    out, at = np.zeros((len(one), 1)), 0
-    for level in range(BITS):
-        p = np.clip(one[:, at : at + (1 << level)], 1e-12, 1 - 1e-12)
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], 2).reshape(len(one), 2 << level)
-        at += 1 << level
+def _gamma_of(n: np.ndarray, table: np.ndarray, more: float) -> np.ndarray:
+    n = n.astype(np.int64)
+    out = table[np.minimum(n, _SMALL - 1)]
+    large = np.flatnonzero(n >= _SMALL)
+    if len(large):
+        out[large] = log_gamma(n[large] + more)
     return out
 
 
-class Model(NamedTuple):
-    """The model of dense rows."""
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    return _gamma_of(zeros, _HALVES, 0.5) + _gamma_of(ones, _HALVES, 0.5) - _gamma_of(zeros + ones, _WHOLES, 1.0) - np.log(np.pi)
 
-    symbol_of: np.ndarray  # of each byte
-    escaped: np.ndarray  # log10 probability of each byte, given the escape symbol
-    contexts: list[np.ndarray]  # kept contexts of each depth; the row of each in ``logs`` follows the ones before
-    logs: np.ndarray  # log10 probability of each symbol in each kept context
 
+def step_of(n: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eighths of a doubling."""
+    return np.floor(np.log2(n) * 8).astype(np.int64)
 
-def weigh(byte_counts: np.ndarray, symbol_of: np.ndarray, contexts: list[np.ndarray], counts: list[np.ndarray]) -> Model:
-    """The model of the kept contexts (by depth, each sorted) and their symbol counts.
 
-    A context's parent drops its farthest symbol, and must be kept as well.
-    """
-    rare = np.where(symbol_of == ESCAPE, byte_counts, 0).astype(float)
-    shared = symbol_of == ESCAPE
-    escaped = np.log10((rare + 0.5) / (rare.sum() + 0.5 * shared.sum()))
-    parents = [None] + [np.searchsorted(contexts[d - 1], contexts[d] & ((1 << (BITS * (d - 1))) - 1)) for d in range(1, len(contexts))]
-    estimate, trust, rest = [], [], []
-    below: np.ndarray | None = None
-    for depth in range(len(contexts) - 1, -1, -1):
-        zeros, ones = decisions(counts[depth])
-        own = log_kt(zeros, ones)
-        estimate.append((ones + 0.5) / (zeros + ones + 1))
-        if below is None:  # the deepest contexts have no children
-            trust.append(np.ones_like(own))
-            rest.append(estimate[-1])
-            weighted = own
-        else:
-            taken, product = np.zeros_like(counts[depth]), np.zeros_like(own)
-            np.add.at(taken, parents[depth + 1], counts[depth + 1])
-            np.add.at(product, parents[depth + 1], below)
-            left_zeros, left_ones = decisions(np.maximum(counts[depth] - taken, 0))
-            product += log_kt(left_zeros, left_ones)
-            trust.append(1 / (1 + np.exp(np.clip(product - own, -700, 700))))
-            merged = (left_ones + 0.5) / (left_zeros + left_ones + 1)
-            rest.append(np.where(left_zeros + left_ones > 0, merged, estimate[-1]))
-            weighted = np.logaddexp(own, product) - np.log(2)
-        below = weighted
-    estimate, trust, rest = estimate[::-1], trust[::-1], rest[::-1]
-    logs = []
-    for stop in range(len(contexts)):
-        at = np.arange(len(contexts[stop]))
-        one = trust[stop] * estimate[stop] + (1 - trust[stop]) * rest[stop]
-        for depth in range(stop - 1, -1, -1):
-            at = parents[depth + 1][at]
-            one = trust[depth][at] * estimate[depth][at] + (1 - trust[depth][at]) * one
-        logs.append(_symbol_logs(one).astype(np.float32))
-    return Model(symbol_of, escaped, contexts, np.concatenate(logs))
-
-
-def alphabet(byte_counts: np.ndarray) -> np.ndarray:
-    """The symbol of each byte: the end first, then bytes by frequency, the rest escaped."""
-    symbol_of = np.full(256, ESCAPE, np.uint8)
-    order = [END, *[b for b in np.argsort(-byte_counts, kind="stable").tolist() if b != END and byte_counts[b]]]
-    symbol_of[order[:ESCAPE]] = np.arange(min(ESCAPE, len(order)))
-    return symbol_of
+def least_of(histogram: list[tuple[int, int]], most: int) -> int:
+    """The least count such that at most ``most`` have it or more, from (step, how many) of a scale as in :func:`step_of`."""
+    total, least = 0, None
+    for step, n in sorted(histogram, reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, step
+    return int(np.ceil(2 ** (least / 8) - 1e-9)) if least is not None else (1 << 62)
 
 
 def frequent(counts: DataFrame, n: str, most: int) -> int:
-    """The least value of ``n`` such that at most ``most`` rows have it or more, on a scale of eighths of a doubling."""
+    """The least value of ``n`` such that at most ``most`` rows have it or more, to an eighth of a doubling."""
     step = F.floor(F.log2(F.col(n)) * 8).cast("int")
-    scale = sorted(((r["step"], r["rows"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    total, least = 0, None
-    for step_, rows in scale:
-        if total + rows > most:
-            break
-        total, least = total + rows, step_
-    return int(np.ceil(2 ** (least / 8) - 1e-9)) if least is not None else (1 << 62)
+    return least_of([(r["step"], r["rows"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect()], most)
 
 
 def tree_order(codes: np.ndarray) -> np.ndarray:
     """Codes with the nearest byte of the context first and the byte itself last: a subtree is a range of them."""
-    byte = lambda i: (codes >> np.uint64(8 * i)) & np.uint64(255)
-    return ((byte(1) << np.uint64(32)) | (byte(2) << np.uint64(24)) | (byte(3) << np.uint64(16)) | (byte(4) << np.uint64(8)) | byte(0)).astype(np.int64)
+    out = codes & np.uint64(255)
+    for i in range(1, DEPTH + 1):
+        out |= ((codes >> np.uint64(8 * i)) & np.uint64(255)) << np.uint64(8 * (DEPTH + 1 - i))
+    return out.astype(np.int64)
 
 
 def buckets_of(codes: np.ndarray, buckets: int) -> np.ndarray:
@@ -202,38 +150,44 @@ def _trust(own: np.ndarray, product: np.ndarray) -> np.ndarray:
 
 
 class Tier(NamedTuple):
-    """Decisions of one level in contexts of three and of four bytes."""
+    """Decisions of one level in contexts of one length."""
+
+    keys: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    own: np.ndarray
+    product: np.ndarray | None  # of the children, as a logarithm; none at the deepest
+    above: np.ndarray | None  # the place of the parent among the keys of the tier before
 
-    keys3: np.ndarray
-    zeros3: np.ndarray
-    ones3: np.ndarray
-    own3: np.ndarray
-    product3: np.ndarray  # of the children, as a logarithm
-    keys4: np.ndarray
-    estimate4: np.ndarray
-    above4: np.ndarray  # the place of the parent in keys3
+    def weighted(self) -> np.ndarray:
+        return self.own if self.product is None else np.logaddexp(self.own, self.product) - np.log(2)
 
 
-def _lower(codes: np.ndarray, times: np.ndarray) -> list[Tier]:
-    """The tiers of a bucket, by level, from its sorted codes in tree order and their counts."""
+def _lower(codes: np.ndarray, times: np.ndarray) -> Iterator[list[Tier]]:
+    """The tiers of depths 3 to ``DEPTH`` of a bucket, for each level, from its sorted codes in tree order and their counts."""
     codes, times = codes[times > 0], times[times > 0]
-    near, near_times = counted(((codes >> 16) << 8) | (codes & 255), times)
-    tiers = []
+    by_depth = [(codes, times)]
+    for _ in range(DEPTH - 3):
+        by_depth.append(counted(((by_depth[-1][0] >> 16) << 8) | (by_depth[-1][0] & 255), by_depth[-1][1]))
     for level in range(LEVELS):
-        keys4, zeros4, ones4 = _nodes(codes, times, level)
-        keys3, zeros3, ones3 = _nodes(near, near_times, level)
-        above = np.searchsorted(keys3, _parent(keys4, level))
-        product = np.bincount(above, log_kt(zeros4, ones4), len(keys3))
-        tiers.append(Tier(keys3, zeros3, ones3, log_kt(zeros3, ones3), product, keys4, (ones4 + 0.5) / (zeros4 + ones4 + 1), above))
-    return tiers
+        tiers: list[Tier] = []
+        for codes, times in by_depth:
+            keys, zeros, ones = _nodes(codes, times, level)
+            product = None
+            if tiers:
+                above = np.searchsorted(keys, _parent(tiers[-1].keys, level))
+                product = np.bincount(above, tiers[-1].weighted(), len(keys))
+                tiers[-1] = tiers[-1]._replace(above=above)
+            tiers.append(Tier(keys, zeros, ones, log_kt(zeros, ones), product, None))
+        yield tiers[::-1]
 
 
 def contributions(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, zeros, ones, product) that a bucket adds to decisions in contexts of two bytes."""
     made = []
-    for level, t in enumerate(_lower(codes, times)):
-        keys, at = np.unique(_parent(t.keys3, level), return_inverse=True)
-        sums = [np.bincount(at, v, len(keys)) for v in (t.zeros3, t.ones3, np.logaddexp(t.own3, t.product3) - np.log(2))]
+    for level, (first, *_) in enumerate(_lower(codes, times)):
+        keys, at = np.unique(_parent(first.keys, level), return_inverse=True)
+        sums = [np.bincount(at, v, len(keys)) for v in (first.zeros, first.ones, first.weighted())]
         made.append((_named(keys, level), *sums))
     return tuple(np.concatenate([m[i] for m in made]) for i in range(4))
 
@@ -273,61 +227,90 @@ def upper(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, product: np.nda
 def log_probabilities(codes: np.ndarray, times: np.ndarray, above: Upper) -> np.ndarray:
     """log10 of each byte's probability after its context: sorted codes in tree order; a count may be 0."""
     out = np.zeros(len(codes))
-    for level, t in enumerate(_lower(codes, times)):
-        at = np.searchsorted(above.keys[2], _named(_parent(t.keys3, level), level))
+    for level, tiers in enumerate(_lower(codes, times)):
+        at = np.searchsorted(above.keys[2], _named(_parent(tiers[0].keys, level), level))
         mixed, rest = above.mixed[at], above.rest[at]
-        estimate, trust = (t.ones3 + 0.5) / (t.zeros3 + t.ones3 + 1), _trust(t.own3, t.product3)
-        final3 = mixed + rest * estimate
-        mixed, rest = mixed + rest * trust * estimate, rest * (1 - trust)
-        final4 = mixed[t.above4] + rest[t.above4] * t.estimate4
+        finals = []  # the probability of 1 where no deeper context has met the decision
+        for depth, t in enumerate(tiers):
+            if depth:
+                mixed, rest = mixed[t.above], rest[t.above]
+            estimate = (t.ones + 0.5) / (t.zeros + t.ones + 1)
+            finals.append(mixed + rest * estimate)
+            if t.product is not None:
+                trust = _trust(t.own, t.product)
+                mixed, rest = mixed + rest * trust * estimate, rest * (1 - trust)
         one = np.full(len(codes), 0.5)
-        missing = np.ones(len(codes), bool)
+        left = np.arange(len(codes))
         wanted = codes >> (LEVELS - level)
         for depth in range(DEPTH, -1, -1):
-            if depth > 2:
-                keys, values, sought = (t.keys4, final4, wanted) if depth == 4 else (t.keys3, final3, wanted)
-            else:
-                keys, values, sought = above.keys[depth], above.final[depth], _named(wanted, level)
-            if len(keys):
+            keys, values = (tiers[depth - 3].keys, finals[depth - 3]) if depth > 2 else (above.keys[depth], above.final[depth])
+            if len(keys) and len(left):
+                sought = wanted if depth > 2 else _named(wanted, level)
                 place = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-                hit = missing & (keys[place] == sought)
-                one[hit] = values[place[hit]]
-                missing &= ~hit
+                hit = keys[place] == sought
+                one[left[hit]] = values[place[hit]]
+                left, wanted = left[~hit], wanted[~hit]
             wanted = _parent(wanted, level)
         one = np.clip(one, 1e-15, 1 - 1e-15)
         out += np.log10(np.where((codes >> (LEVELS - 1 - level)) & 1, one, 1 - one))
     return out
 
 
-def merged(part: pa.Table) -> pa.Table:
-    """One row for a bucket: its distinct codes in order and the sums of their counts."""
-    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint64)
-    times = np.frombuffer(b"".join(part.column("times").to_pylist()), np.int64)
-    codes, times = counted(codes, times)
-    return pa.table({"codes": pa.array([codes.tobytes()], pa.binary()), "times": pa.array([times.astype(np.int64).tobytes()], pa.binary())})
+def packed(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(codes, codes in tree order, counts) of each bucket, by tree order."""
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket of rows in order of buckets: its distinct codes in order and the sums of their counts."""
+    now: int | None = None
+    codes, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        return counted(*(np.concatenate(x) for x in zip((codes, times), *waiting)))
+
+    for batch in batches:
+        for bucket, c, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if now is not None and bucket != now:
+                codes, times = added()
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *packed(codes, times)], ["bucket", "codes", "times"])
+                codes, times, waiting = codes[:0], times[:0], []
+            now = bucket
+            waiting.append((np.frombuffer(c.as_py(), np.uint64), np.frombuffer(t.as_py(), np.int64)))
+            if sum(len(x) for x, _ in waiting) > max(1 << 20, len(codes)):
+                codes, times = added()
+                waiting = []
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *packed(*added())], ["bucket", "codes", "times"])
+
+
+def in_buckets(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows of a bucket together, in one partition."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket", *order)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(bucket, codes, counts, places in tree order, codes in tree order) of each bucket."""
     for batch in batches:
-        for codes, times in zip(batch.column(0), batch.column(1)):
+        for bucket, codes, times in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             codes, times = np.frombuffer(codes.as_py(), np.uint64), np.frombuffer(times.as_py(), np.int64)
             ordered = tree_order(codes)
             order = np.argsort(ordered)
-            yield codes[order], ordered[order], times[order]
+            yield bucket, codes, times, order, ordered[order]
 
 
 def learn(partial: DataFrame) -> DataFrame:
-    """``(code, n, log)`` of ``(bucket, codes, times)``: all codes, with log10 of their bytes' probabilities.
+    """``(bucket, codes, times, logs)`` of ``(bucket, codes, times)``: all codes, with log10 of their bytes' probabilities.
 
-    Codes are as :func:`grams` makes them. Those with count 0 are priced, but not learned from.
+    Codes are as :func:`grams` makes them, in order; all three are packed arrays. Codes with
+    count 0 are priced, but not learned from.
     """
     spark = partial.sparkSession
-    trees = partial.groupBy("bucket").applyInArrow(merged, "codes binary, times binary").checkpoint()
+    trees = in_buckets(partial).mapInArrow(merged, "bucket int, codes binary, times binary").checkpoint()
 
     def rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ordered, times in _buckets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in contributions(ordered, times)], ["key", "zeros", "ones", "product"])
+        for _, _, times, order, ordered in _buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in contributions(ordered, times[order])], ["key", "zeros", "ones", "product"])
 
     sums = trees.mapInArrow(rise, "key bigint, zeros double, ones double, product double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "product")])
     found = sums.toArrow()  # 255 rows for each pair of bytes at most
@@ -336,27 +319,52 @@ def learn(partial: DataFrame) -> DataFrame:
 
     def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = Upper(*shared.value)
-        for codes, ordered, times in _buckets(batches):
-            logs = log_probabilities(ordered, times, above)
-            for at in range(0, len(codes), 100_000):
-                cut = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[cut].astype(np.int64)), pa.array(times[cut]), pa.array(logs[cut])], ["code", "n", "log"])
+        for bucket, codes, times, order, ordered in _buckets(batches):
+            logs = np.zeros(len(codes))
+            logs[order] = log_probabilities(ordered, times[order], above)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *packed(codes, times, logs)], ["bucket", "codes", "times", "logs"])
+
+    return trees.mapInArrow(fall, "bucket int, codes binary, times binary, logs binary")
+
+
+def head_of(trees: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(codes, counts, logs) of the most frequent codes, ``most`` at most, and the count that the rest is below."""
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for times in batch.column(0):
+                times = np.frombuffer(times.as_py(), np.int64)
+                step, n = np.unique(step_of(times[times > 0]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
+    histogram = trees.select("times").mapInArrow(scale, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n"))
+    least = least_of([tuple(r) for r in histogram.collect()], most)  # 8 steps for each doubling
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, times, logs in zip(*batch.columns):
+                codes, times, logs = np.frombuffer(codes.as_py(), np.uint64), np.frombuffer(times.as_py(), np.int64), np.frombuffer(logs.as_py(), np.float64)
+                kept = times >= least
+                yield pa.RecordBatch.from_arrays(packed(codes[kept], times[kept], logs[kept]), ["codes", "times", "logs"])
 
-    return trees.mapInArrow(fall, "code bigint, n bigint, log double")
+    found = trees.select("codes", "times", "logs").mapInArrow(chosen, "codes binary, times binary, logs binary").toArrow()  # ``most`` codes at most
+    whole = [np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in (("codes", np.uint64), ("times", np.int64), ("logs", np.float64))]
+    order = np.argsort(whole[0])
+    return (*(x[order] for x in whole), least)
 
 
 class Head:
-    """The logs of the broadcast codes: a small table in which the more frequent code has the slot, then a search."""
+    """The logs of the broadcast codes: a table in which the more frequent code has the slot, then a search."""
 
-    BITS = 17
+    BITS = 20
 
     def __init__(self, codes: np.ndarray, times: np.ndarray, logs: np.ndarray):
         self.codes, self.logs = codes, logs
         by_times = np.argsort(times, kind="stable")
-        self.slots = np.zeros(1 << self.BITS, np.int64)
-        self.slots[self._slot(codes[by_times])] = by_times
+        slots = np.zeros(1 << self.BITS, np.int64)
+        slots[self._slot(codes[by_times])] = by_times
         if len(codes):
-            self.slot_codes, self.slot_logs = codes[self.slots], logs[self.slots]
+            self.slot_codes, self.slot_logs = codes[slots], logs[slots]
 
     def _slot(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
@@ -368,7 +376,8 @@ class Head:
         slot = self._slot(codes)
         logs = self.slot_logs[slot]
         other = np.flatnonzero(self.slot_codes[slot] != codes)
-        at = np.minimum(np.searchsorted(self.codes, codes[other]), len(self.codes) - 1)
-        here = self.codes[at] == codes[other]
-        logs[other] = np.where(here, self.logs[at], 0.0)
-        return logs, other[~here]
+        asked, back = np.unique(codes[other], return_inverse=True)
+        at = np.minimum(np.searchsorted(self.codes, asked), len(self.codes) - 1)
+        here = self.codes[at] == asked
+        logs[other] = np.where(here, self.logs[at], 0.0)[back]
+        return logs, other[~here[back]]

@@ -20,61 +20,9 @@ def test_kt_is_the_sequential_estimate():
     assert np.isclose(np.exp(ctw.log_kt(np.array([2.0]), np.array([4.0])))[0], p)
 
 
-def brute_weighted(counts, depth, context, node):
-    """Weighted log probability and predicted probability of 1 at a binary node, by plain recursion."""
-    level, prefix = node
-    total = [0, 0]
-    for (c, symbol), n in counts.items():
-        if c[len(c) - depth :] == context and symbol >> (6 - level) == prefix:
-            total[symbol >> (5 - level) & 1] += n
-    own = math.lgamma(total[0] + 0.5) + math.lgamma(total[1] + 0.5) - math.lgamma(sum(total) + 1) - math.log(math.pi)
-    return own, (total[1] + 0.5) / (sum(total) + 1)
-
-
-def test_weights_mix_all_depths():
-    data = [b"abracadabra abracadabra", b"banana bandana", b"abc"]
-    codes, n = ctw.counted(np.concatenate([ctw.grams(d) for d in data]))
-    byte_counts = np.bincount((codes & 255).astype(int), n, 256).astype(np.int64)
-    symbol_of = ctw.alphabet(byte_counts)
-    grams = {}
-    for code, k in zip(codes.tolist(), n.tolist()):
-        s = [int(symbol_of[code >> (8 * i) & 255]) for i in (4, 3, 2, 1, 0)]
-        grams[tuple(s[:4]), s[4]] = grams.get((tuple(s[:4]), s[4]), 0) + k
-    pack = lambda c: sum(s << (6 * (len(c) - 1 - i)) for i, s in enumerate(c))
-    contexts, counts = [], []
-    for d in range(5):
-        found = sorted({pack(c[4 - d :]) for c, _ in grams})
-        matrix = np.zeros((len(found), 64))
-        for (c, s), k in grams.items():
-            matrix[found.index(pack(c[4 - d :])), s] += k
-        contexts.append(np.array(found, np.int64))
-        counts.append(matrix)
-    model = ctw.weigh(byte_counts, symbol_of, contexts, counts)
-    assert np.allclose((10.0 ** model.logs.astype(float)).sum(1), 1, atol=1e-5)
-
-    def weighted(depth, context, node):
-        own, p = brute_weighted(grams, depth, context, node)
-        if depth == 4:
-            return own
-        kids = {c[4 - depth - 1 :] for c, _ in grams if c[4 - depth :] == context}
-        return np.logaddexp(own, sum(weighted(depth + 1, k, node) for k in kids)) - math.log(2)
-
-    context = next(c for c, _ in grams)
-    for symbol in (1, 2, 5):
-        log = 0.0
-        for level in range(6):
-            node = (level, symbol >> (6 - level))
-            p = brute_weighted(grams, 4, context, node)[1]
-            for depth in (3, 2, 1, 0):
-                at = context[4 - depth :]
-                own, q = brute_weighted(grams, depth, at, node)
-                kids = {c[4 - depth - 1 :] for c, _ in grams if c[4 - depth :] == at}
-                product = sum(weighted(depth + 1, k, node) for k in kids)
-                trust = 1 / (1 + math.exp(product - own))
-                p = trust * q + (1 - trust) * p
-            log += math.log10(p if symbol >> (5 - level) & 1 else 1 - p)
-        row = sum(map(len, contexts[:4])) + int(np.searchsorted(contexts[4], pack(context)))
-        assert np.isclose(model.logs[row, symbol], log, atol=1e-4)
+def test_kt_of_large_counts():
+    z, o = np.array([0.0, 3, 65_535, 65_536, 1e7]), np.array([0.0, 65_600, 1, 70_000, 3])
+    assert np.allclose(ctw.log_kt(z, o), [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in zip(z, o)], rtol=1e-7)
 
 
 def test_documents(spark, odd_docs, odd_rows, no_docs):
@@ -105,3 +53,9 @@ def test_rare_words_meet_their_counts(spark, monkeypatch):
     monkeypatch.undo()
     many = {r["doc_id"]: r for r in L.language_scores(docs).collect()}
     assert all(few[i]["n_known"] == many[i]["n_known"] and math.isclose(few[i]["base_score"], many[i]["base_score"]) for i in many)
+
+
+def test_better_than_unigrams_on_held_out_documents(spark):
+    found = L.language_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    held = found[found.held_out]
+    assert held.score.sum() > held.base_score.sum()
