@@ -65,7 +65,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return found.select("page_id", "host", "path", "rule", "verdict")
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), F.round("log_odds", 6).alias("log_odds"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,23 +1,28 @@
-"""URL verdicts: rules first, then words segmented from the host, judged by naive Bayes.
-
-A host label such as "cheappillsonline" is split by the Viterbi path of a unigram model whose
-counts come from the words of the pages themselves (a bounded vocabulary of the most
-frequent) and from the examples below. Host and path words are then scored by a multinomial
-naive Bayes model learned from those examples.
+"""URL verdicts: rules first, then words segmented from host and path, judged by naive Bayes.
+
+Both models are learned from the pages themselves, counted in the cluster over all rows. A name such
+as "cheappillsonline" is split by the Viterbi path of a unigram model of the words in the pages'
+text: every word counts, however rare, as the substrings of the distinct names meet the whole
+count table in a join. Naive Bayes takes its two classes from the pages' content: a page whose
+text fails the base quality measures speaks against the words of its URL, any other page for them.
+What is known of a distinct name (its words and their log-odds) is made once and joined to the URLs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvane.frames import narrow
+from sylvane.functions.binding import let
+from sylvane.llm import quality_rules
 from sylvane.llm.batches import bound_batches
+from sylvane.session import ensure_checkpoint_dir
 
 # The rules, as (verdict, host, path).
 RULES = (
@@ -28,27 +33,16 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# The examples that the classifier learns from, words of URLs by verdict.
-BLOCKED = (
-    "casino win", "free bets", "cheap pills", "spam farm", "ads track", "online casino bonus", "poker jackpot", "slots spin win",
-    "sports betting odds", "buy cheap viagra", "discount pharmacy pills", "payday loan cash", "fast cash loans", "free followers likes",
-    "adult xxx cams", "hot sex dating", "porn video tube", "click ads banner", "track pixel ad", "popup adserver", "get rich quick",
-    "crypto giveaway double", "win prize lottery", "replica watches sale", "cracked keygen warez", "torrent crack download free",
-    "miracle weight loss", "hack password free", "bet casino free spins", "link farm seo spam", "doorway spam backlinks", "malware phish login verify",
-)
-ALLOWED = (
-    "news", "wiki", "docs", "shop", "mail", "forum", "science", "research", "university library", "school education", "city museum",
-    "garden club", "music review", "book review", "history archive", "weather report", "health info", "travel guide", "recipe kitchen",
-    "open source project", "software manual", "help support", "about contact", "daily times", "local paper", "journal article", "photo gallery",
-    "art studio", "film society", "bicycle repair", "bird watch", "math notes", "course lecture", "product manual", "index page", "article post",
-)
-#: Words of the unigram model that come from the pages, at most; their length; weight of a word of the examples.
-VOCABULARY, LONGEST, SEED_COUNT = 50_000, 24, 1000
-#: Smoothing of naive Bayes; prior log-odds of "block"; log-odds from which a URL is blocked.
-SMOOTHING, PRIOR, LIMIT = 0.25, -1.0, 0.0
+#: Longest part of a name that is looked up as a word; a whole name is, whatever its length.
+LONGEST = 24
+#: Smoothing of naive Bayes; log-odds above which a URL is blocked.
+SMOOTHING, LIMIT = 1.0, 0.0
+#: What an unknown part costs beyond a word that occurs once, and for each of its characters.
+UNKNOWN, UNKNOWN_CHARACTER = 2.0, 3.0
+#: Rows of parts of names that are handed on at once.
+PIECES = 100_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPLIT = re.compile(r"[a-z]+")
-GENERIC = frozenset(("http", "https", "www", "m", "com", "net", "org", "html", "htm", "php", "example", "blog", "en", "de", "fr", "es", "it"))
+NAME = r"[\p{L}\p{M}]+|\d+"
 
 
 def host_of(url: Column) -> Column:
@@ -71,103 +65,155 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def millionths(x: float) -> int:
+    return round(float(x) * 1e6)
+
+
 class Segmenter:
-    """Viterbi splits under a unigram model; an unknown chunk costs more the longer it is."""
+    """Viterbi splits under a unigram model; an unknown chunk costs more the longer it is.
+
+    Costs are whole millionths, so that ties are ties in whatever order they are added up.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = float(sum(counts.values())) or 1.0
-        self.cost = {w: -np.log(c / total) for w, c in counts.items()}
-        self.unknown = np.log(total) + 2.0
-        self.longest = max(map(len, counts), default=1)
-        self.memo: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) or 1
+        self.cost = {w: millionths(np.log(total) - np.log(c)) for w, c in counts.items()}
+        self.unknown = millionths(np.log(total) + UNKNOWN)
 
     def __call__(self, name: str) -> list[str]:
-        """The cheapest split; on a tie the one with the longer last word."""
-        if name in self.memo:
-            return self.memo[name]
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                word = name[start:end]
-                cost = self.cost.get(word)
-                options.append((best[start] + (self.unknown + 3.0 * len(word) if cost is None else cost), start))
-            cost, start = min(options)
-            best.append(cost)
-            back.append(start)
-        words, end = [], len(name)
+        """The cheapest split; on a tie the one with the longer last word. An unknown chunk is one character or follows a word."""
+        n, cost_of = len(name), self.cost.get
+        best, back = [0] * (n + 1), [0] * (n + 1)
+        open_cost, open_start = np.inf, 0  # of the best unknown chunk that can be drawn out to here
+        for end in range(1, n + 1):
+            begun = best[end - 1] + self.unknown
+            if begun < open_cost:
+                open_cost, open_start = begun, end - 1
+            open_cost += millionths(UNKNOWN_CHARACTER)
+            cost, start = open_cost, open_start
+            for first in range(max(0, end - LONGEST), end):
+                c = cost_of(name[first:end])
+                if c is not None and (best[first] + c, first) < (cost, start):
+                    cost, start = best[first] + c, first
+            if end == n > LONGEST and (c := cost_of(name)) is not None and c <= cost:
+                cost, start = c, 0
+            best[end], back[end] = cost, start
+        words, end = [], n
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[name] = words[::-1]
-        return self.memo[name]
+        return words[::-1]
 
 
-class NaiveBayes:
-    """Log-odds of "block" for each word, from the examples."""
+def names_of(host: Column, path: Column) -> Column:
+    """The names of a URL: runs of letters, and runs of digits of which only the length is kept."""
+    return F.regexp_extract_all(F.translate(F.concat_ws("/", host, F.lower(path)), "123456789", "0" * 9), F.lit(NAME), F.lit(0))
 
-    def __init__(self):
-        blocked, allowed = ([w for text in side for w in text.split()] for side in (BLOCKED, ALLOWED))
-        words = sorted({*blocked, *allowed})
-        n = SMOOTHING * (len(words) + 1)
-        of = lambda side, w: np.log((side.count(w) + SMOOTHING) / (len(side) + n))
-        self.odds = {w: float(of(blocked, w) - of(allowed, w)) for w in words}
 
-    def __call__(self, words: list[str]) -> float:
-        return PRIOR + sum(self.odds.get(w, 0.0) for w in words)
+def plain_text(html: Column) -> Column:
+    """The text between tags, without scripts and styles; one that isn't closed lasts to the end."""
+    return F.regexp_replace(html, r"(?i)<(?:script|style)\b[^<>]*>(?s:.*?)(?:</(?:script|style)>|\z)|<[^<>]*>|&[a-z]+;", " ")
 
 
-def tokens(host: str, path: str, split: Segmenter) -> list[str]:
-    """Words of host and path: runs of letters, each split into words."""
-    out: list[str] = []
-    for run in SPLIT.findall(host) + SPLIT.findall(path.lower()):
-        if run not in GENERIC:
-            out += [w for at in range(0, len(run), 256) for w in split(run[at : at + 256])]
-    return out
+def fails_quality(text: Column) -> Column:
+    """Whether a text has too few words, too many repeated ones, or too many symbols."""
 
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        repeated = quality_rules.repeated_words(words) * 100 > n * quality_rules.MOST_REPEATED
+        symbols = F.regexp_count(text, F.lit(quality_rules.SYMBOL)) * 100 > F.char_length(text) * quality_rules.MOST_SYMBOLS
+        return (n < quality_rules.LEAST_WORDS) | repeated | symbols
 
-def page_words(pages: DataFrame, text_col: str, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of the pages' text between tags: ``most`` rows at most reach the driver."""
-    rows = narrow(pages, html=text_col).where("html is not null")
-    plain = F.regexp_replace(F.lower("html"), r"<(?:script|style)[^>]*>(?s:.*?)</(?:script|style)>|<[^>]*>|&[a-z]+;", " ")
-    words = rows.select(F.explode(F.regexp_extract_all(plain, F.lit(rf"(?<![\p{{L}}\d])[a-z]{{2,{LONGEST}}}(?![\p{{L}}\d])"), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    return {r["word"]: r["count"] for r in counted.collect()}
+    return let(quality_rules.words_of(text), of)
 
 
-def vocabulary(counts: dict[str, int]) -> dict[str, int]:
-    """The pages' counts with the examples' words added."""
-    made = dict(counts)
-    for text in (*BLOCKED, *ALLOWED):
-        for w in text.split():
-            made[w] = made.get(w, 0) + SEED_COUNT
-    return made
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``(word, n)`` of all words of column ``text``, in lower case, of two letters and more."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]{2,}+"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``(key, words)`` of ``(key, name)``: the Viterbi split of each name under the counts ``(word, n)``.
+
+    Only the parts of a name that are words travel back to it: at most its length times
+    ``LONGEST``. A name without any is one unknown word.
+    """
+    total = words.agg(F.sum("n")).first()[0] or 0
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, piece = [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.string())], ["key", "word"])
+
+        for batch in batches:
+            for k, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for width in range(2, min(LONGEST, len(name)) + 1):
+                    found = {name[i : i + width] for i in range(len(name) - width + 1)}
+                    key += [k] * len(found)
+                    piece += found
+                    if len(key) > PIECES:
+                        yield made()
+                        key, piece = [], []
+                if len(name) > LONGEST:
+                    key.append(k), piece.append(name)
+        if key:
+            yield made()
+
+    letters = names.where(~F.startswith("name", F.lit("0")))
+    known = letters.select("key", "name").mapInArrow(parts, "key bigint, word string").join(words, "word")
+    known = known.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    @F.pandas_udf("array<string>")
+    def split(name: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([Segmenter({r["word"]: r["n"] for r in k} if k is not None else {}, total)(n) for n, k in zip(name, known)])
+
+    return names.join(known, "key", "left").select("key", split("name", "known").alias("words"))
+
+
+def word_odds(counted: DataFrame) -> DataFrame:
+    """``(word, odds)`` of ``(word, blocked, allowed)``: the log-ratio of the smoothed shares of both classes."""
+    b, a, v = counted.agg(F.sum("blocked"), F.sum("allowed"), F.count("*")).first()
+    share = lambda c, n: F.log((F.col(c) + SMOOTHING) / F.lit(float((n or 0) + SMOOTHING * (v + 1))))
+    return counted.select("word", (share("blocked", b) - share("allowed", a)).alias("odds"))
 
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``(page_id, host, path, rule, verdict, words, log_odds)``, one row for each row of the input.
 
-    rule is null where none fits; words and log_odds are given for all. A null URL, or one
-    without "://", has an empty host and path, no words, and is allowed. Repeated rows give
-    repeated results; an empty table gives none.
+    rule is null where none fits; words and log_odds are given for all. Rows with a null page
+    are judged, but not learned from; without ``html_col``, or where no page is given, nothing
+    speaks against a URL. A null URL, or one without "://", has an empty host and path and no
+    words. A tie, log-odds of ``LIMIT``, is allowed. URLs and pages of any length are taken
+    whole. Repeated rows count as often and give repeated results; further columns are not
+    read; an empty table gives none.
     """
     spark = pages.sparkSession
-    counts = vocabulary(page_words(pages, html_col) if html_col else {})
+    ensure_checkpoint_dir(spark)
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(counts)  # VOCABULARY words and the examples' at most
-    rows = narrow(pages, page_id=id_col, url=url_col)
-    parts = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-
-    @F.pandas_udf("struct<words: array<string>, log_odds: double>")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        split, model = Segmenter(shared.value), NaiveBayes()
-        for hosts, paths in batches:
-            found = [tokens(h, p, split) for h, p in zip(hosts, paths)]
-            yield pd.DataFrame({"words": found, "log_odds": [model(w) for w in found]})
-
+    rows = narrow(pages, page_id=id_col, url=url_col, html=html_col) if html_col else narrow(pages, page_id=id_col, url=url_col).withColumn("html", F.lit(None).cast("string"))
+    rows = rows.withColumn("text", plain_text(F.col("html")))
+    names = lambda c: names_of(c["host"], c["path"])
+    at = F.struct(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parts = rows.select(F.monotonically_increasing_id().alias("row"), "page_id", at.alias("at"), F.when(F.col("text").isNotNull(), fails_quality(F.col("text"))).alias("fails"))
+    parts = parts.select("row", "page_id", "at.host", "at.path", names(F.col("at")).alias("names"), "fails").checkpoint()
+    counts = word_counts(rows).checkpoint()
+    blocked, allowed = (F.count(F.when(F.col("fails") == side, 1)).alias(c) for side, c in ((True, "blocked"), (False, "allowed")))
+    found = parts.select(F.explode("names").alias("name"), "fails").groupBy("name").agg(blocked, allowed)
+    found = found.select(F.monotonically_increasing_id().alias("key"), "name", "blocked", "allowed").checkpoint()
+    split = found.join(segmented(found.select("key", "name"), counts), "key").select("key", "name", "words", "blocked", "allowed").checkpoint()
+    by_word = split.select(F.explode("words").alias("word"), "blocked", "allowed").groupBy("word").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+    odds = word_odds(by_word.checkpoint())
+    scored = split.select("key", F.explode("words").alias("word")).join(odds, "word").groupBy("key").agg(F.sum("odds").alias("odds"))
+    known = split.select("key", "name", "words").join(scored, "key").select("name", "words", "odds")
+    n_blocked, n_allowed = parts.agg(blocked, allowed).first()
+    prior = float(np.log((n_blocked + SMOOTHING) / (n_allowed + SMOOTHING)))
+    met = parts.select("row", F.posexplode("names").alias("at", "name")).join(known, "name")
+    sums = met.groupBy("row").agg(F.sum("odds").alias("odds"), F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    judged = parts.select("page_id", "host", "path", judge("host", "path").alias("nb"))
-    verdict = F.coalesce(verdict, F.when(F.col("nb.log_odds") > LIMIT, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "nb.words", "nb.log_odds")
+    judged = parts.drop("names", "fails").join(sums, "row", "left")
+    judged = judged.withColumn("log_odds", F.coalesce("odds", F.lit(0.0)) + F.lit(prior if n_blocked + n_allowed else 0.0))
+    verdict = F.coalesce(verdict, F.when(F.col("log_odds") > LIMIT, F.lit("block")).otherwise(F.lit("allow")))
+    words = F.coalesce(F.flatten(F.transform("w", lambda x: x["words"])), F.array().cast("array<string>"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), words.alias("words"), "log_odds")
