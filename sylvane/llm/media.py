@@ -9,8 +9,10 @@ declared; what is confirmed further in is embedded and can be carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -33,8 +35,58 @@ class Found(NamedTuple):
     end: int
 
 
-def _riff(data: bytes, at: int) -> tuple[str, int] | None:
+class Reading:
+    """What the validators of one byte string share, so that many candidates cost no more than one pass each.
+
+    Places of marks are listed once. Walks along blocks that point to the next one are
+    remembered: where two candidates come to the same block, the second stops there.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._marks: dict[bytes, list[int]] = {}
+        self._ends: dict[str, dict[int, tuple[int | None, bool]]] = {}
+
+    def marks(self, mark: bytes) -> list[int]:
+        if mark not in self._marks:
+            self._marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self._marks[mark]
+
+    def next_mark(self, mark: bytes, at: int) -> int | None:
+        """The first place of the mark from ``at`` on."""
+        places = self.marks(mark)
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    def last_mark(self, mark: bytes, at: int, end: int) -> int | None:
+        """The last place of the mark between ``at`` and ``end``."""
+        places = self.marks(mark)
+        i = bisect_left(places, end) - 1
+        return places[i] if i >= 0 and places[i] >= at else None
+
+    def walk(self, name: str, at: int, step: Callable[[int], tuple[int | None, bool, bool]]) -> tuple[int | None, bool]:
+        """Follows ``step(place) -> (next place or end or None, whether it is the end, a sign)``: the end, and whether any step gave the sign."""
+        known, path = self._ends.setdefault(name, {}), []
+        found: tuple[int | None, bool] | None = None
+        while found is None:
+            if at in known:
+                found = known[at]
+                break
+            after, last, sign = step(at)
+            path.append((at, sign))
+            if after is None or last or after <= at:
+                found = (after if last else None, False)
+            else:
+                at = after
+        for place, sign in reversed(path):
+            found = (found[0], found[1] or sign)
+            known[place] = found
+        return found
+
+
+def _riff(read: Reading, at: int) -> tuple[str, int] | None:
     """RIFF: a known form whose chunks fill the declared length."""
+    data = read.data
     if at + 12 > len(data):
         return None
     size, form = struct.unpack_from("<I4s", data, at + 4)
@@ -48,8 +100,9 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
     return (kind, end) if chunks and cursor in (end, end + 1) else None
 
 
-def _png(data: bytes, at: int) -> tuple[str, int] | None:
+def _png(read: Reading, at: int) -> tuple[str, int] | None:
     """PNG: IHDR first, every chunk's CRC right, up to IEND."""
+    data = read.data
     cursor, first = at + 8, True
     while cursor + 12 <= len(data):
         n, name = struct.unpack_from(">I4s", data, cursor)
@@ -63,57 +116,59 @@ def _png(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> tuple[str, int] | None:
+def _gif(read: Reading, at: int) -> tuple[str, int] | None:
     """GIF: blocks of images and extensions up to the trailer."""
-    cursor = at + 13
-    if cursor > len(data):
+    data, n = read.data, len(read.data)
+    if at + 13 > n:
         return None
-    cursor += 3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 128 else 0
-    images = 0
 
-    def blocks(i: int) -> int:
-        while i < len(data) and data[i]:
-            i += data[i] + 1
-        return i + 1
+    def part(i: int) -> tuple[int | None, bool, bool]:
+        return (None, False, False) if i >= n else (i + data[i] + 1, False, False) if data[i] else (i + 1, True, False)
 
-    while cursor < len(data):
-        tag = data[cursor]
+    def block(i: int) -> tuple[int | None, bool, bool]:
+        tag = data[i] if i < n else None
         if tag == 0x3B:
-            return ("gif", cursor + 1) if images else None
+            return i + 1, True, False
         if tag == 0x21:
-            cursor = blocks(cursor + 2)
-        elif tag == 0x2C and cursor + 10 <= len(data):
-            flags = data[cursor + 9]
-            cursor = blocks(cursor + 10 + (3 << ((flags & 7) + 1) if flags & 128 else 0) + 1)
-            images += 1
-        else:
-            return None
-    return None
+            return read.walk("gif parts", i + 2, part)[0], False, False
+        if tag == 0x2C and i + 10 <= n:
+            colours = 3 << ((data[i + 9] & 7) + 1) if data[i + 9] & 128 else 0
+            return read.walk("gif parts", i + 10 + colours + 1, part)[0], False, True
+        return None, False, False
+
+    end, image = read.walk("gif", at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 128 else 0), block)
+    return ("gif", end) if end is not None and image else None
+
+
+_AFTER_SCAN = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 
 
-def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(read: Reading, at: int) -> tuple[str, int] | None:
     """JPEG: marker segments of declared lengths, a frame and a scan, up to the end marker."""
-    cursor, frame = at + 2, False
-    while cursor + 4 <= len(data):
-        if data[cursor] != 0xFF:
-            return None
-        marker = data[cursor + 1]
+    data = read.data
+
+    def segment(i: int) -> tuple[int | None, bool, bool]:
+        if i + 4 > len(data) or data[i] != 0xFF:
+            return None, False, False
+        marker = data[i + 1]
         if marker == 0xD9 or 0xD0 <= marker <= 0xD7 or marker in (0, 1, 0xFF):
-            return None
-        cursor += 2 + struct.unpack_from(">H", data, cursor + 2)[0]
-        frame |= 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
-        if marker == 0xDA:
-            while cursor + 1 < len(data):
-                if data[cursor] == 0xFF and data[cursor + 1] not in (0, 0xFF) and not 0xD0 <= data[cursor + 1] <= 0xD7:
-                    break
-                cursor += 1
-            if cursor + 1 < len(data) and data[cursor + 1] == 0xD9:
-                return ("jpeg", cursor + 2) if frame else None
-    return None
+            return None, False, False
+        after = i + 2 + struct.unpack_from(">H", data, i + 2)[0]
+        frame = 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
+        if marker != 0xDA:
+            return after, False, frame
+        found = _AFTER_SCAN.search(data, after)
+        if not found:
+            return None, False, False
+        return (found.start() + 2, True, False) if data[found.start() + 1] == 0xD9 else (found.start(), False, False)
 
+    end, frame = read.walk("jpeg", at + 2, segment)
+    return ("jpeg", end) if end is not None and frame else None
 
-def _bmp(data: bytes, at: int) -> tuple[str, int] | None:
+
+def _bmp(read: Reading, at: int) -> tuple[str, int] | None:
     """BMP: declared size, a known header, pixels inside."""
+    data = read.data
     if at + 26 > len(data):
         return None
     size, zero, start, header = struct.unpack_from("<IIII", data, at + 2)
@@ -121,26 +176,29 @@ def _bmp(data: bytes, at: int) -> tuple[str, int] | None:
     return ("bmp", at + size) if ok and at + size <= len(data) else None
 
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    """PDF: a version, then a cross-reference start and the end mark."""
+def _pdf(read: Reading, at: int) -> tuple[str, int] | None:
+    """PDF: a version, then a cross-reference start and the last end mark before another PDF begins."""
+    data = read.data
     if not (data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"." and data[at + 7 : at + 8].isdigit()):
         return None
-    end = data.rfind(b"%%EOF", at)
-    return ("pdf", end + 5) if end > 0 and data.find(b"startxref", at, end) > 0 else None
+    other = read.next_mark(b"%PDF-", at + 5)
+    end = read.last_mark(b"%%EOF", at, len(data) if other is None else other)
+    return ("pdf", end + 5) if end is not None and read.last_mark(b"startxref", at, end) is not None else None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
+def _zip(read: Reading, at: int) -> tuple[str, int] | None:
     """ZIP: the end record's directory lies where it says, counted from this entry."""
-    end = data.find(b"PK\5\6", at)
-    if end < 0 or end + 22 > len(data):
+    data, end = read.data, read.next_mark(b"PK\5\6", at)
+    if end is None or end + 22 > len(data):
         return None
     size, start, note = struct.unpack_from("<IIH", data, end + 12)
     ok = at + start + size == end and data[at + start : at + start + 4] == b"PK\1\2" and end + 22 + note <= len(data)
     return ("zip", end + 22 + note) if ok else None
 
 
-def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(read: Reading, at: int) -> tuple[str, int] | None:
     """GZIP: a member that inflates with the right checksum; what it inflates to is not kept."""
+    data = read.data
     reader, cursor = zlib.decompressobj(31), at
     try:
         while cursor < len(data) and not reader.eof:
@@ -154,14 +212,77 @@ def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
     return ("gzip", cursor - len(reader.unused_data)) if reader.eof else None
 
 
-def _flac(data: bytes, at: int) -> tuple[str, int] | None:
-    """FLAC: stream information first; as the format has no length, it lasts to the end."""
-    ok = at + 42 <= len(data) and data[at + 4] & 127 == 0 and data[at + 5 : at + 8] == b"\0\0\x22"
-    return ("flac", len(data)) if ok else None
+def _crc8(data: bytes) -> int:
+    """The checksum of a FLAC frame's header: polynomial x^8 + x^2 + x + 1."""
+    value = 0
+    for byte in data:
+        value ^= byte
+        for _ in range(8):
+            value = (value << 1) ^ 0x107 if value & 128 else value << 1
+    return value
+
+
+def _flac(read: Reading, at: int) -> tuple[str, int] | None:
+    """FLAC: stream information, blocks of declared lengths, then a frame whose header checks; as it has no length, it lasts to the end."""
+    data = read.data
+    if at + 42 > len(data) or data[at + 4] & 127 or data[at + 5 : at + 8] != b"\0\0\x22":
+        return None
+    least, most = struct.unpack_from(">HH", data, at + 8)
+    rate = int.from_bytes(data[at + 18 : at + 21], "big") >> 4
+    if not 16 <= least <= most or not rate:
+        return None
+
+    def block(i: int) -> tuple[int | None, bool, bool]:
+        if i + 4 > len(data) or data[i] & 127 == 127:
+            return None, False, False
+        return i + 4 + int.from_bytes(data[i + 1 : i + 4], "big"), bool(data[i] & 128), False
+
+    i = read.walk("flac", at + 4, block)[0]
+    if i is None or i + 6 > len(data) or data[i] != 0xFF or data[i + 1] & 0xFE != 0xF8:
+        return None
+    lead = data[i + 4]
+    number = 1 if lead < 128 else 8 - (lead ^ 255).bit_length()
+    size = i + 4 + number + {6: 1, 7: 2}.get(data[i + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(data[i + 2] & 15, 0)
+    return ("flac", len(data)) if size < len(data) and _crc8(data[i:size]) == data[size] else None
+
+
+def _ogg(read: Reading, at: int) -> tuple[str, int] | None:
+    """OGG: a first page, then pages of declared lengths up to the one that ends the stream."""
+    data = read.data
+
+    def page(i: int) -> tuple[int | None, bool, bool]:
+        if i + 27 > len(data) or data[i : i + 5] != b"OggS\0" or i + 27 + data[i + 26] > len(data):
+            return None, False, False
+        after = i + 27 + data[i + 26] + sum(data[i + 27 : i + 27 + data[i + 26]])
+        return (after if after <= len(data) else None), after <= len(data) and bool(data[i + 5] & 4), False
+
+    end = read.walk("ogg", at, page)[0] if at + 6 <= len(data) and data[at + 5] & 2 else None
+    return ("ogg", end) if end is not None else None
+
+
+# The boxes that a file has beside its type.
+_BOXES = re.compile(rb"moov|mdat|moof|meta|free|skip|uuid|sidx|styp|mfra|pdin|wide")
+
+
+def _mp4(read: Reading, at: int) -> tuple[str, int] | None:
+    """MP4 and its kin: a file type box, then boxes of declared lengths, one of them with media or its index."""
+    data = read.data
+    begin = at - 4
+
+    def box(i: int) -> tuple[int | None, bool, bool]:
+        if i != begin and not _BOXES.match(data, i + 4):
+            return i, True, False
+        after = i + max(8, int.from_bytes(data[i : i + 4], "big"))
+        return (after if after <= len(data) else None), False, data[i + 4 : i + 8] in (b"moov", b"mdat", b"moof", b"meta")
+
+    if begin < 0 or not 16 <= int.from_bytes(data[begin:at], "big") <= 4096:
+        return None
+    end, media = read.walk("mp4", begin, box)
+    return ("mp4", end) if media and end is not None else None
 
 
 #: The magic bytes of each format, with its validator.
-SIGNATURES: dict[bytes, Callable[[bytes, int], tuple[str, int] | None]] = {
+SIGNATURES: dict[bytes, Callable[[Reading, int], tuple[str, int] | None]] = {
     b"RIFF": _riff,
     b"\x89PNG\r\n\x1a\n": _png,
     b"GIF87a": _gif,
@@ -172,14 +293,18 @@ SIGNATURES: dict[bytes, Callable[[bytes, int], tuple[str, int] | None]] = {
     b"PK\3\4": _zip,
     b"\x1f\x8b\x08": _gzip,
     b"fLaC": _flac,
+    b"OggS": _ogg,
+    b"ftyp": _mp4,
 }
+#: Formats whose magic bytes don't come first: how far they are from the beginning.
+LEAD = {b"ftyp": 4}
 
 
 def automaton() -> ahocorasick.Automaton:
     """All signatures as Latin-1 strings, which map bytes to characters one to one."""
     built = ahocorasick.Automaton()
     for magic, validate in SIGNATURES.items():
-        built.add_word(magic.decode("latin-1"), (len(magic), validate))
+        built.add_word(magic.decode("latin-1"), (len(magic), LEAD.get(magic, 0), validate))
     built.make_automaton()
     return built
 
@@ -187,15 +312,16 @@ def automaton() -> ahocorasick.Automaton:
 def sniff(data: bytes, matcher: ahocorasick.Automaton) -> list[Found]:
     """Confirmed media from left to right, none inside another except inside the one at 0."""
     found: list[Found] = []
-    free = 0
-    for last, (n, validate) in matcher.iter(data.decode("latin-1")):
+    free, read = 0, Reading(data)
+    for last, (n, lead, validate) in matcher.iter(data.decode("latin-1")):
         at = last - n + 1
-        if at < free or found and at == found[0].begin:
+        begin = at - lead
+        if begin < free or found and begin == found[0].begin:
             continue
-        hit = validate(data, at)
+        hit = validate(read, at)
         if hit:
-            found.append(Found(hit[0], at, hit[1]))
-            free = hit[1] if at else 0
+            found.append(Found(hit[0], begin, hit[1]))
+            free = hit[1] if begin else 0
     return found
 
 
@@ -262,7 +388,9 @@ def media_columns(docs: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS), id
     The text's UTF-8, filled up with byte 255 to a positive multiple of 576, is stored as a
     WAV file (``media``); digests and features are of what is read back from it. ``carved``
     has the embedded media. Null counts as empty: 576 filler bytes. Equal texts give equal
-    values; repeated rows give repeated results; an empty table gives none.
+    values; texts of any length are stored whole; of candidates that overlap the leftmost is
+    carved; repeated rows give repeated results; further columns are not read; an empty table
+    gives none.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col)
     bound_batches(docs.sparkSession)
