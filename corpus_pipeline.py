@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sylvane.frames import numbered
 from sylvane.llm import packing, pii, quality_model, quality_rules, simhash
-from sylvane.session import ensure_checkpoint_dir
+from sylvane.session import ensure_checkpoint_dir, remove_folder
 
 #: The key of the pseudonyms; a production run takes its own.
 PSEUDONYM_KEY = "sylvane"
@@ -72,11 +72,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again.
+
+    A stage's folder goes when the next one is written; that of the last is the result's.
+    Null, empty and very long texts, repeated rows and ids, empty tables and further columns
+    are treated as each stage says.
+    """
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
         docs = spark.read.parquet(f"{root}/{i}-{name}")
+        if i:
+            remove_folder(spark, f"{root}/{i - 1}-{STAGES[i - 1][0]}")
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvane.functions import vectors as V
@@ -31,11 +31,33 @@ def random_order(df: DataFrame, seed: int, id_col: str) -> DataFrame:
     return df.withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
 
 
+def key_number(key: Column) -> Column:
+    """The first 32 bits of an MD5 key as a number: in the order of the keys."""
+    return F.conv(F.left(key, F.lit(8)), 16, 10).cast("long")
+
+
+def _bin(key: Column, bins: int = 4096) -> Column:
+    return F.shiftright(key_number(key), 32 - bins.bit_length() + 1).cast("int")
+
+
 def random_sample(df: DataFrame, n: int | float, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
-    """Rows without replacement, the first by keyed order; the same for the same seed."""
-    if isinstance(n, float):
-        n = how_many(df.count(), n)
-    return random_order(df, seed, id_col).orderBy("__key", id_col).limit(n).drop("__key")
+    """Rows without replacement, the first by keyed order; the same for the same seed.
+
+    A histogram of the keys tells in which of 4,096 bins the last row lies: bins before it are
+    taken whole, and only the rows of that one are ordered.
+    """
+    keyed = random_order(df, seed, id_col)
+    counts = sorted((r["bin"], r["count"]) for r in keyed.groupBy(_bin(F.col("__key")).alias("bin")).count().collect())
+    n = how_many(sum(c for _, c in counts), n)
+    before, last = 0, -1
+    for last, count in counts:
+        if before + count > n:
+            break
+        before += count
+    else:
+        return keyed.drop("__key")
+    edge = keyed.where(_bin(F.col("__key")) == last).orderBy("__key", id_col).limit(n - before)
+    return keyed.where(_bin(F.col("__key")) < last).unionByName(edge).drop("__key")
 
 
 def permuted(df: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -136,7 +158,21 @@ def sample_ids(df: DataFrame, config: SamplingConfig, id_col: str = "vec_id", ve
 
 
 def stratified_split(df: DataFrame, label_col: str, share: float = 0.8, seed: int = 42, id_col: str = "vec_id") -> DataFrame:
-    """Rows with ``is_train``: of each label the first ``share`` by keyed order."""
-    w = Window.partitionBy(label_col)
-    ranked = random_order(df, seed, id_col).withColumn("__r", F.row_number().over(w.orderBy("__key", id_col))).withColumn("__n", F.count("*").over(w))
-    return ranked.withColumn("is_train", F.col("__r") <= F.floor(F.col("__n") * share)).drop("__key", "__r", "__n")
+    """Rows with ``is_train``: of each label the first ``share`` by keyed order.
+
+    Counts of each label and bin of keys tell in which bin its last row lies; only the rows of
+    that bin are ranked, so no task holds a label.
+    """
+    keyed = random_order(df, seed, id_col).withColumn("__bin", _bin(F.col("__key")))
+    counts = keyed.groupBy(F.col(label_col).alias("__label"), "__bin").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy("__label").orderBy("__bin")  # at most 4,096 rows a label
+    counts = counts.select("__label", "__bin", (F.sum("__n").over(upto) - F.col("__n")).alias("__before"), F.floor(F.sum("__n").over(Window.partitionBy("__label")) * share).alias("__most"), "__n")
+    edge = counts.where("__before < __most and __before + __n > __most")
+    at = edge.select("__label", F.col("__bin").alias("__edge"), "__before", "__most")
+    whole = counts.groupBy("__label").agg(F.max(F.when(F.col("__before") + F.col("__n") <= F.col("__most"), F.col("__bin"))).alias("__whole"))
+    met = keyed.join(F.broadcast(whole.join(at, F.equal_null(whole["__label"], at["__label"]), "left").select(whole["__label"], "__whole", "__edge", "__before", "__most")), F.equal_null(F.col(label_col), F.col("__label")), "left")
+    inside = F.coalesce(F.col("__bin") <= F.col("__whole"), F.lit(False))
+    rest = met.where(F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False)))
+    ranked = rest.withColumn("__r", F.row_number().over(Window.partitionBy(label_col, "__bin").orderBy("__key", id_col))).withColumn("is_train", F.col("__before") + F.col("__r") <= F.col("__most")).drop("__r")
+    others = met.where(F.coalesce(F.col("__bin") != F.col("__edge"), F.lit(True))).withColumn("is_train", inside)
+    return others.unionByName(ranked).select(*df.columns, "is_train")

@@ -8,7 +8,7 @@ from sylvane.functions import text as T
 from sylvane.functions import vectors as V
 from sylvane.operators import baselines, build, infer, metrics, nli, reports, search
 from sylvane.operators.models import HashingEmbedder, LexicalEntailment, embed_documents
-from sylvane.operators.sampling import SamplingConfig
+from sylvane.operators.sampling import SamplingConfig, stratified_split
 from sylvane.plans.text_queries import chunks_sql, read
 from sylvane.plans.vector_queries import rounded
 
@@ -143,21 +143,20 @@ def kmeans_tree_build(spark, sf_dir):
     return nodes.select("node_id", "question", "n_docs", "is_leaf")
 
 
-def split_metrics_sum(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    config = build.TreeConfig(max_depth=1, min_node_size=20, max_retries=0, n_scored=0.3)
-    nodes, _ = build.build_tree(docs, embed_documents(docs, HashingEmbedder(64)), config)
-    return reports.tree_statistics(nodes)
+def split(rows, id_col):
+    parts = stratified_split(rows, "label", id_col=id_col)
+    return parts.where("is_train").drop("is_train"), parts.where("not is_train").drop("is_train")
 
 
 def bow_decision_tree(spark, sf_dir):
+    """Learned from four fifths of each label, applied to the rest."""
     rows = labelled(spark, sf_dir).select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    return baselines.word_tree(rows, rows, least=5).select("doc_id", "label", "predicted", "leaf")
+    return baselines.word_tree(*split(rows, "doc_id"), least=5).select("doc_id", "label", "predicted", "leaf")
 
 
 def vector_decision_tree(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("double"))
-    return baselines.vector_tree(rows, rows, least=5).select("vec_id", "label", "predicted", "leaf")
+    return baselines.vector_tree(*split(rows, "vec_id"), least=5).select("vec_id", "label", "predicted", "leaf")
 
 
 def density_clusters(spark, sf_dir):
@@ -203,7 +202,7 @@ QUERIES = {
     for f in (
         nli_scores, nli_logits, zero_shot_negated, entailment_search, logical_pairs, functional_similarity, issue_findings, issue_depths, tree_inference, path_texts,
         random_paths, topic_diversity_full, topic_diversity_paths, judge_averages, inference_report, generation_fidelity, best_method, hashed_embeddings,
-        topic_tree_build, kmeans_tree_build, split_metrics_sum, bow_decision_tree, vector_decision_tree, density_clusters, topic_words,
+        topic_tree_build, kmeans_tree_build, bow_decision_tree, vector_decision_tree, density_clusters, topic_words,
     )
 }
 
@@ -234,3 +233,15 @@ ORACLES = {
       a AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS b, (SELECT sum(ny * (ny - 1) / 2) FROM ty) AS y, (SELECT sum(nc * (nc - 1) / 2) FROM tc) AS c, (SELECT total * (total - 1) / 2 FROM tot) AS p)
       SELECT (SELECT round(avg((y = c)::INT), 6) FROM r) AS accuracy, (SELECT round(avg(CASE WHEN s + m = 0 THEN 0 ELSE 2 * tp / (s + m) END), 6) FROM k) AS f1_macro, round(mi / ((hy + hc) / 2), 6) AS nmi, (SELECT round((b - y * c / p) / ((y + c) / 2 - y * c / p), 6) FROM a) AS ari FROM i""",
 }
+
+_SENTENCES = r"string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1))"
+_NAMED = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+_SHARE = "CASE WHEN len(hw) = 0 THEN 0 ELSE len(list_intersect(hw, pw)) / len(hw)::DOUBLE END"
+_FINDINGS = f"""h AS (SELECT n AS problem_name, {_TOKENS.format('q')} AS hw FROM (VALUES {_NAMED(PROBLEMS)}) t(n, q)), sp AS (SELECT doc_id AS page, {_SENTENCES} AS s FROM documents),
+  se AS MATERIALIZED (SELECT page, no, sentence, {_TOKENS.format('sentence')} AS pw FROM (SELECT page, unnest(range(len(s))) AS no, unnest(s) AS sentence FROM sp)),
+  r AS (SELECT page, problem_name, no, sentence, {_SHARE} AS r FROM se, h), b AS (SELECT *, row_number() OVER (PARTITION BY page, problem_name ORDER BY r DESC, no) AS k FROM r),
+  f AS MATERIALIZED (SELECT page, problem_name, sentence AS evidence FROM b WHERE k = 1 AND r > 0.5)"""
+ORACLES["issue_findings"] = f"WITH {_FINDINGS} SELECT * FROM f"
+ORACLES["issue_depths"] = f"""WITH {_FINDINGS}, dh AS (SELECT n AS depth, {_TOKENS.format('q')} AS hw FROM (VALUES {_NAMED(DEPTHS)}) t(n, q)), fp AS (SELECT *, {_TOKENS.format("problem_name || ' - ' || evidence")} AS pw FROM f)
+  SELECT page, problem_name, depth, evidence FROM fp, dh WHERE {_SHARE} > 0.5"""
+ORACLES["hashed_embeddings"] = f"WITH {chunks_sql(100, 25, 1000)} SELECT doc_id, 64 AS d, CAST(max(CASE WHEN trim(chunk) <> '' THEN 1 ELSE 0 END) AS DOUBLE) AS norm FROM chunks GROUP BY doc_id"

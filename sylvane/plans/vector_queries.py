@@ -66,13 +66,13 @@ def knn_classifier(spark, sf_dir):
 
 
 def index_top_k(spark, sf_dir):
+    """The searches of every row whose id is divisible by 100, against all rows."""
     rows = vectors(spark, sf_dir)
-    query = [float(x) for x in rows.where("vec_id = 7").first()["embedding"]]
-    return rounded(knn.top_k(rows, query, 20), "sim")
+    return rounded(knn.knn(rows.where("vec_id % 100 = 0"), rows, 20), "sim")
 
 
 def lsh_neighbours(spark, sf_dir):
-    return knn.lsh_knn(vectors(spark, sf_dir), 10, bucket=2.0, threshold=1.5)
+    return knn.ivf_knn(vectors(spark, sf_dir), 10)
 
 
 def votek_votes(spark, sf_dir):
@@ -142,6 +142,27 @@ def halving_tree_nodes(spark, sf_dir):
     return tree.nodes_of(members(spark, sf_dir)).drop("question")
 
 
+def noisy_tree_membership(spark, sf_dir):
+    """The same where every seventh row is noise."""
+    noisy = vectors(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("label")))
+    return tree.halving_members(noisy, 10, 1, "vec_id", "label").select("node_id", "doc_id")
+
+
+def measured_nodes(spark, sf_dir):
+    """The halving tree's nodes with split metrics made of their sizes."""
+    kinds = {"success": F.col("n_docs") > 0} | {m: ((F.col("n_docs") + i) % (7 + i)).cast("int" if m in tree.WHOLE else "double") for i, m in enumerate(tree.SPLIT_METRICS) if i}
+    return tree.nodes_of(members(spark, sf_dir)).withColumn("metrics", F.struct(*[kinds[m].alias(m) for m in tree.SPLIT_METRICS]))
+
+
+def split_metrics_sum(spark, sf_dir):
+    return reports.split_metrics_sum(measured_nodes(spark, sf_dir))
+
+
+def tree_statistics(spark, sf_dir):
+    made = reports.tree_statistics(measured_nodes(spark, sf_dir))
+    return rounded(made, *reports.AVERAGED)
+
+
 def halving_tree_membership(spark, sf_dir):
     return members(spark, sf_dir).select("node_id", "doc_id")
 
@@ -331,7 +352,7 @@ QUERIES = {
     for f in (
         pairwise_cosine, semantic_pooled, semantic_by_label, knn_graph, affinity_edges, adaptive_sigma, label_propagation, label_propagation_converged,
         knn_classifier, index_top_k, lsh_neighbours, votek_votes, votek_sample, random_sample, stratified_split, medoids_by_label, kmeans_sample, two_means,
-        halving_tree_nodes, halving_tree_membership, prune_tree, tree_structure, leaf_sizes, find_leaf, sample_documents, dot_labels, tree_layout,
+        halving_tree_nodes, halving_tree_membership, noisy_tree_membership, split_metrics_sum, tree_statistics, prune_tree, tree_structure, leaf_sizes, find_leaf, sample_documents, dot_labels, tree_layout,
         cluster_assignment, contingency, nmi_all, homogeneity, ari, majority_labels, accuracy, f1_all, classification_report, confusion_matrix,
         leaf_purity, purity_summary, isolation_depth, exploratory_power, leaf_bundle, tree_report, silhouette, davies_bouldin, calinski_harabasz, child_parent,
         vector_histogram, token_usage, experiment_grid,
@@ -348,7 +369,7 @@ ORACLES = {
     "label_propagation": f"WITH {_propagated(10, 0.99)}, b AS (SELECT doc, lab, row_number() OVER (PARTITION BY doc ORDER BY f DESC, lab) AS r FROM f10) SELECT id AS doc_id, coalesce(lab, (SELECT min(lab) FROM f0)) AS label FROM v LEFT JOIN (SELECT * FROM b WHERE r = 1) ON doc = id",
     "knn_classifier": f"""WITH {_knn(5, sim='-list_distance(a.v, b.v)')}, c AS (SELECT src, v.label, count(*) AS n FROM nn JOIN v ON v.id = dst GROUP BY ALL)
       SELECT src AS doc_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, label) AS r FROM c) WHERE r = 1""",
-    "index_top_k": f"WITH {V} SELECT b.id, round(list_dot_product(a.v, b.v), 6) AS sim FROM v a, v b WHERE a.id = 7 ORDER BY list_dot_product(a.v, b.v) DESC, b.id LIMIT 20",
+    "index_top_k": f"WITH {_knn(20)} SELECT src, dst, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM nn WHERE src % 100 = 0",
     "votek_votes": f"WITH {_knn(15)} SELECT dst AS candidate, count(*) AS n_votes, min(src) AS first_vote FROM nn GROUP BY dst",
     "random_sample": "SELECT vec_id FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT (SELECT count(*) // 10 FROM embeddings)",
     "stratified_split": "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.8) AS is_train FROM embeddings",
@@ -391,6 +412,35 @@ ORACLES = {
     "token_usage": "WITH r AS (SELECT length(text) AS i, length(text) % 97 AS o, turn * 10 + length(text) AS ms FROM conversations) SELECT CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum(i + o) / count(*), 6) AS tokens_per_node, round(corr(o, ms), 6) AS corr_tokens_time FROM r",
     "experiment_grid": "SELECT * FROM (SELECT unnest(['gpt-oss', 'gpt-4o']) AS model), (SELECT unnest(['votek', 'kmeans']) AS sampler), (SELECT unnest(['wikipedia', 'bills']) AS dataset)",
 }
+_METRIC = lambda m, i: f"(n_docs + {i}) % {7 + i}"
+_SUMS = {m: f"CAST(sum({_METRIC(m, i)}) AS {'BIGINT' if m in tree.WHOLE else 'DOUBLE'})" for i, m in enumerate(tree.SPLIT_METRICS)}
+ORACLES["split_metrics_sum"] = f"WITH {TREE} SELECT " + ", ".join(f"{'true' if m == 'success' else '0.0::DOUBLE' if m in reports.NOT_SUMMED else _SUMS[m]} AS {m}" for m in tree.SPLIT_METRICS) + " FROM nodes"
+ORACLES["tree_statistics"] = f"WITH {TREE} SELECT " + ", ".join(
+    f"{'true' if m == 'success' else f'round({_SUMS[m]} / count(*) FILTER (NOT is_leaf), 6)' if m in reports.AVERAGED else _SUMS[m]} AS {m}" for m in tree.SPLIT_METRICS
+) + ", count(*) FILTER (NOT is_leaf) AS n_inner FROM nodes"
+ORACLES["noisy_tree_membership"] = f"""WITH {TREE.split(V)[0]}{V}, noisy AS (SELECT id, CASE WHEN id % 7 = 0 THEN -1 ELSE label END AS label FROM v),
+  ranked AS (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS c FROM noisy WHERE label <> -1), {TREE.split('ranked AS (SELECT id, label, dense_rank() OVER (ORDER BY label) - 1 AS c FROM v), ')[1]}
+  SELECT node_id, doc_id FROM m UNION ALL SELECT unnest(['', CASE WHEN k // 2 <= k - k // 2 THEN 'L' ELSE 'R' END]), id FROM noisy, k WHERE label = -1"""
+ORACLES["tree_layout"] = f"""WITH {TREE}, l AS (SELECT node_id, (row_number() OVER (ORDER BY node_id) - 1) * 150.0 AS x FROM nodes WHERE is_leaf)
+  SELECT n.node_id, CAST(sum(l.x * pow(0.5, length(l.node_id) - length(n.node_id))) AS DOUBLE) AS x, CAST(length(n.node_id) * 120.0 AS DOUBLE) AS y FROM nodes n JOIN l ON starts_with(l.node_id, n.node_id) GROUP BY n.node_id"""
+
+
+def _greedy(picks: int) -> str:
+    """Vote-k, pick by pick."""
+    parts = [_knn(15), "vo AS MATERIALIZED (SELECT dst AS cand, src AS sup FROM nn)"]
+    for i in range(picks):
+        before = " UNION ALL ".join(f"SELECT cand FROM p{j}" for j in range(i)) or "SELECT NULL::BIGINT AS cand"
+        parts.append(f"c{i} AS MATERIALIZED ({before}), t{i} AS MATERIALIZED (SELECT sup, count(*) AS times FROM vo WHERE cand IN (SELECT cand FROM c{i}) GROUP BY sup)")
+        parts.append(f"p{i} AS MATERIALIZED (SELECT {i} AS pick, cand FROM vo LEFT JOIN t{i} USING (sup) WHERE cand NOT IN (SELECT cand FROM c{i} WHERE cand IS NOT NULL) GROUP BY cand ORDER BY round(sum(10.0 ** -coalesce(times, 0)), 9) DESC, count(*) DESC, min(sup), cand LIMIT 1)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT pick, cand AS doc_id FROM p{i}" for i in range(picks))
+
+
+ORACLES["votek_sample"] = f"WITH {_greedy(8)}"
+_STEPS = 30
+_CHANGES = " UNION ALL ".join(f"SELECT {i} AS i, (SELECT max(abs(coalesce(a.f, 0) - coalesce(b.f, 0))) FROM f{i} a FULL JOIN f{i + 1} b ON a.doc = b.doc AND a.lab = b.lab) AS d" for i in range(_STEPS))
+_VALUES = " UNION ALL ".join(f"SELECT {i} AS i, doc, lab, f FROM f{i}" for i in range(_STEPS + 1))
+ORACLES["label_propagation_converged"] = f"""WITH {_propagated(_STEPS, 0.5)}, ch AS MATERIALIZED ({_CHANGES}), stop AS (SELECT coalesce(min(i), {_STEPS}) AS i FROM ch WHERE d IS NULL OR d < 1e-3),
+  b AS (SELECT doc, lab, row_number() OVER (PARTITION BY doc ORDER BY f DESC, lab) AS r FROM ({_VALUES}) JOIN stop USING (i)) SELECT id AS doc_id, coalesce(lab, (SELECT min(lab) FROM f0)) AS label FROM v LEFT JOIN (SELECT * FROM b WHERE r = 1) ON doc = id"""
 ORACLES["tree_report"] = f"""WITH {INFORMATION}, {ARI.split(', a AS')[1].join(['a AS', ''])}, {PER_CLASS.split(CLUSTERS + ', ')[1]},
   st AS (SELECT count(*) AS n_nodes, CAST(max(length(node_id)) AS INTEGER) AS height, count(*) FILTER (is_leaf) AS n_leaves,
     CAST(abs(coalesce(max(length(node_id) - 1) FILTER (starts_with(node_id, 'L')), -1) - coalesce(max(length(node_id) - 1) FILTER (starts_with(node_id, 'R')), -1)) AS INTEGER) AS node_unbalance,

@@ -27,10 +27,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests), make a local one."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, make a local one, but only for a local master."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(
-        context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sylvane-checkpoint-", dir=os.environ.get("TMPDIR"))
-    )
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not is_local(context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sylvane-checkpoint-", dir=os.environ.get("TMPDIR")))
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder by the file system that its path names."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

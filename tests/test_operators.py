@@ -207,3 +207,14 @@ def test_asking(spark):
     assert ask.generate_from_paths(paths, make_client).first()["text"] == "Question: A? Answer: Yes"
     examples = spark.sql("select array('a b', 'c') texts")
     assert ask.generate_from_examples(examples, make_client).first()["text"] == "Texts: [a b, c]"
+
+
+def test_approximate_neighbours(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    exact = {(r["src"], r["dst"]) for r in knn.knn(rows, rows, 10).collect()}
+    near = {(r["src"], r["dst"]) for r in knn.ivf_knn(rows, 10).collect()}
+    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+    few = rows.limit(300)
+    whole = {(r["src"], r["dst"], r["rank"]) for r in knn.knn(few, few, 5).collect()}
+    assert {(r["src"], r["dst"], r["rank"]) for r in knn.ivf_knn(few, 5, cells=7, probes=7, size=40).collect()} == whole
+    assert knn.ivf_knn(few.where("false"), 5).count() == 0
