@@ -8,22 +8,28 @@ rejected tries again with its hypothesis on the blacklist.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvane.functions import text as T
 from sylvane.operators import nli, tree
 from sylvane.operators.models import EntailmentScorer, HypothesisGenerator, LexicalEntailment, TokenHypothesis
-from sylvane.operators.sampling import SamplingConfig, how_many
+from sylvane.operators.sampling import SamplingConfig, how_many, key_number, kmeans_clusters, sample_ids
 from sylvane.session import ensure_checkpoint_dir
 
 
+#: Words of a document that the generator is shown.
+SHOWN_WORDS = 350
+
+
 @dataclass(frozen=True)
 class TreeConfig:
-    """Settings of a build. ``split`` is "propagate" or "kmeans"; with "kmeans" clusters come first and the hypothesis contrasts them."""
+    """Settings of a build. ``select`` chooses the documents shown to the generator: "random", "kmeans" or "vote_k", a number or a share. ``split`` is "propagate" or "kmeans"; with "kmeans" clusters come first and the hypothesis contrasts them."""
 
     min_node_size: int = 2
     max_depth: int = 10
@@ -44,19 +50,30 @@ class TreeConfig:
     seed: int = 42
 
 
+def nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, the earlier one first among equals at the edge."""
+    if k >= sims.shape[1]:
+        return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(sims, best, 1).min(1)
+    for row in np.flatnonzero((sims >= edge[:, None]).sum(1) > k):
+        found = np.flatnonzero(sims[row] >= edge[row])
+        best[row] = found[np.argsort(-sims[row, found], kind="stable")[:k]]
+    return best
+
+
 def propagate_node(x: np.ndarray, y: np.ndarray, k: int, sigma: float, alpha: float, max_iter: int, tol: float) -> np.ndarray:
     """Labels 0 and 1 for the rows of one node from known ones (-1: unknown), by the same rule as the edge tables."""
     n = len(x)
     if n < 2 or not (y >= 0).any():
         return np.maximum(y, 0)
     k = min(k, n - 1)
-    x = x.astype(np.float32)
     near, weight = np.zeros((n, k), np.int64), np.zeros((n, k))
     for at in range(0, n, 512):
         part = slice(at, at + 512)
         sims = x[part] @ x.T
         sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -np.inf
-        best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        best = nearest(sims, k)
         near[part] = best
         weight[part] = np.exp(-((1 - np.take_along_axis(sims, best, 1).astype(float)) ** 2) / (2 * sigma**2)) / 2
     rows, columns, w = np.repeat(np.arange(n), k), near.ravel(), weight.ravel()
@@ -77,8 +94,10 @@ def propagate_node(x: np.ndarray, y: np.ndarray, k: int, sigma: float, alpha: fl
     return np.where(now[:, 1] > now[:, 0], 1, 0)
 
 
-#: Up to so many documents a node is propagated in one task; larger nodes go through the edge tables.
+#: Up to so many documents a node is one task's work; larger nodes are spread over the cluster. The rule is the same.
 DENSE_NODE = 16_384
+#: Samples of up to so many documents a node are exact; of a larger one each document is drawn by its hash.
+RANKED_SAMPLE = 65_536
 
 
 def _labels(frontier: DataFrame, vectors: DataFrame, answers: DataFrame, sizes: dict[str, int], config: TreeConfig) -> DataFrame:
@@ -104,39 +123,119 @@ def _labels(frontier: DataFrame, vectors: DataFrame, answers: DataFrame, sizes:
     return made
 
 
-def _two_means(frontier: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
-    """``(node_id, doc_id, cluster)``: spherical 2-means inside each node, in one pass over the nodes."""
+def spherical_means(x: np.ndarray, k: int, seed: int, steps: int = 50, restarts: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, nearest centre of each row) of the best of a few runs; rows are of unit length."""
+    best, cost = None, -np.inf
+    for restart in range(restarts):
+        rng = np.random.default_rng(seed + restart)
+        centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
+        for _ in range(steps):
+            side = (x @ centres.T).argmax(1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, side, x)
+            fresh = np.where(np.bincount(side, minlength=len(centres))[:, None] > 0, sums, centres)
+            fresh = fresh / np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-12)
+            if np.allclose(fresh, centres):
+                break
+            centres = fresh
+        value = (x @ centres.T).max(1).sum()
+        if value > cost + 1e-12:
+            best, cost = (centres, side), value
+    return best
+
+
+def _by_size(rows: DataFrame, sizes: dict[str, int], small, large, schema: str, by: list[str]) -> DataFrame:
+    """``small`` on each group of the nodes that are one task's work, ``large(rows of a node, node)`` on each other node."""
+    few = [n for n, size in sizes.items() if size <= DENSE_NODE]
+    made = rows.where(F.col("node_id").isin(few)).groupBy(*by).applyInPandas(small, schema)
+    for node in sorted(set(sizes) - set(few)):
+        made = made.unionByName(large(rows.where(F.col("node_id") == node), node))
+    return made
+
+
+def _two_means(frontier: DataFrame, vectors: DataFrame, sizes: dict[str, int], seed: int) -> DataFrame:
+    """``(node_id, doc_id, cluster)``: spherical 2-means inside each node; large nodes by distributed k-means."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        _, side = spherical_means(np.array(pdf["embedding"].tolist(), float).reshape(len(pdf), -1), 2, seed)
+        return pd.DataFrame({"node_id": pdf["node_id"], "doc_id": pdf["doc_id"], "cluster": side})
+
+    def spread(rows: DataFrame, node: str) -> DataFrame:
+        return kmeans_clusters(rows, 2, "doc_id", seed=seed).select(F.lit(node).alias("node_id"), "doc_id", "cluster")
+
+    return _by_size(frontier.join(vectors, "doc_id"), sizes, each, spread, "node_id string, doc_id long, cluster int", ["node_id"])
+
+
+def _order(salt: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{salt}:"), "node_id", F.lit(":"), F.col("doc_id").cast("string")))
+
+
+def _first(frontier: DataFrame, quotas: DataFrame, salt: str) -> DataFrame:
+    """The first ``quota`` documents of each node in a keyed order, with the columns of ``quotas(node_id, quota, size, ...)``.
+
+    A threshold of the key leaves a little more than the quota before anything is ranked; a
+    quota over ``RANKED_SAMPLE`` is met by its share of the keys alone.
+    """
+    met = frontier.join(F.broadcast(quotas), "node_id").withColumn("__key", _order(salt))
+    many = F.col("quota") > RANKED_SAMPLE
+    spare = F.when(many, 0.0).otherwise(6 * F.sqrt("quota") + 20)
+    met = met.where(key_number(F.col("__key")) < 2.0**32 * (F.col("quota") + spare) / F.col("size"))
+    ranked = met.where(~many).withColumn("__r", F.row_number().over(Window.partitionBy("node_id").orderBy("__key", "doc_id")))
+    return met.where(many).unionByName(ranked.where(F.col("__r") <= F.col("quota")).drop("__r")).drop("__key")
+
+
+def _chosen(here: DataFrame, vectors: DataFrame, sizes: dict[str, int], n: int | float, config: TreeConfig, by: list[str]) -> DataFrame:
+    """``(node_id, cluster, doc_id)``: representatives of each node (and cluster) by the configured strategy.
+
+    ``by`` has the columns of a group. Random ones are the first in a keyed order.
+    """
+    select = config.select
+    strategy = {"votek": "vote_k"}.get(select.selection_strategy, select.selection_strategy) if by == ["node_id"] else "kmeans"
+    if strategy not in ("random", "kmeans", "vote_k"):
+        raise ValueError(f"Unknown selection strategy: {select.selection_strategy}")
+    if strategy == "random":
+        table = [(node, max(1, how_many(size, n)), size) for node, size in sizes.items()]
+        quotas = here.sparkSession.createDataFrame(table, "node_id string, quota int, size long")
+        return _first(here, quotas, f"llm{config.seed}").select("node_id", F.lit(0).alias("cluster"), "doc_id")
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
         x = np.array(pdf["embedding"].tolist(), float).reshape(len(pdf), -1)
-        best, cost = np.zeros(len(x), int), -np.inf
-        for restart in range(5):
-            rng = np.random.default_rng(seed + restart)
-            centres = x[rng.choice(len(x), size=min(2, len(x)), replace=False)]
-            for _ in range(50):
-                side = (x @ centres.T).argmax(1)
-                fresh = np.array([x[side == c].sum(0) if (side == c).any() else centres[c] for c in range(len(centres))])
-                fresh /= np.maximum(np.linalg.norm(fresh, axis=1, keepdims=True), 1e-12)
-                if np.allclose(fresh, centres):
-                    break
-                centres = fresh
-            value = (x @ centres.T).max(1).sum()
-            if value > cost + 1e-12:
-                best, cost = side, value
-        return pd.DataFrame({"node_id": pdf["node_id"], "doc_id": pdf["doc_id"], "cluster": best})
-
-    return frontier.join(vectors, "doc_id").groupBy("node_id").applyInPandas(each, "node_id string, doc_id long, cluster int")
-
-
-def _chosen(frontier: DataFrame, n: int, salt: str, by: list[str] | None = None) -> DataFrame:
-    """The first n documents of each node (and cluster) in a keyed order: top-k per group, cut before the shuffle."""
-    from pyspark.sql import Window
-
-    keys = ["node_id", *(by or [])]
-    order = F.md5(F.concat(F.lit(f"{salt}:"), "node_id", F.lit(":"), F.col("doc_id").cast("string")))
-    ranked = frontier.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "doc_id")))
-    return ranked.where(F.col("__r") <= n).drop("__r")
+        m = max(1, how_many(len(x), n))
+        picked = greedy_votes(x, m, select.k_neighbors) if strategy == "vote_k" else sorted(set((spherical_means(x, m, config.seed, select.niter)[0] @ x.T).argmax(1).tolist()))
+        pdf = pdf.iloc[picked]
+        return pd.DataFrame({"node_id": pdf["node_id"], "cluster": pdf["cluster"], "doc_id": pdf["doc_id"]})
+
+    def spread(rows: DataFrame, node: str) -> DataFrame:
+        found = []
+        for cluster in [r["cluster"] for r in rows.select("cluster").distinct().collect()]:  # two at most
+            own = rows.where(F.col("cluster") == cluster).select("doc_id", "embedding")
+            chosen = replace(select, selection_strategy=strategy, n_select=n)
+            found += [(node, cluster, i) for i in set(sample_ids(own, chosen, "doc_id"))]
+        return rows.sparkSession.createDataFrame(found, "node_id string, cluster int, doc_id long")
+
+    rows = here if "cluster" in here.columns else here.withColumn("cluster", F.lit(0))
+    return _by_size(rows.join(vectors, "doc_id"), sizes, each, spread, "node_id string, cluster int, doc_id long", by)
+
+
+def greedy_votes(x: np.ndarray, n: int, k: int) -> list[int]:
+    """Vote-k inside one node, as :func:`sampling.vote_k` does it; rows that nobody votes for can't be chosen."""
+    if len(x) < 2:
+        return list(range(len(x)))
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    near = nearest(sims, min(k, len(x) - 1))
+    voters = [np.flatnonzero((near == c).any(1)) for c in range(len(x))]
+    served, chosen = np.zeros(len(x)), []
+    while len(chosen) < n:
+        left = [c for c in range(len(x)) if len(voters[c]) and c not in chosen]
+        if not left:
+            break
+        best = min(left, key=lambda c: (-round(float((10.0 ** -served[voters[c]]).sum()), 9), -len(voters[c]), voters[c][0], c))
+        chosen.append(best)
+        served[voters[best]] += 1
+    return chosen
 
 
 def build_tree(
@@ -174,18 +273,19 @@ def build_tree(
         if not open_:
             break
         frontier = frontier.where(F.col("node_id").isin(list(open_))).checkpoint()
-        clusters = _two_means(frontier, vectors, config.seed).checkpoint() if config.split == "kmeans" else None
+        clusters = _two_means(frontier, vectors, open_, config.seed).checkpoint() if config.split == "kmeans" else None
         pending, accepted = dict(open_), []
         for attempt in range(config.max_retries + 1):
             here = frontier.where(F.col("node_id").isin(list(pending)))
-            shown = _representatives(here, clusters, texts, config)
+            shown = _representatives(here, clusters, vectors, texts, pending, config)
             for node in list(pending):
                 tokens = sum(len(t.split()) for side in shown.get(node, {}).values() for t in side)
                 metrics.setdefault(node, {"success": True, "n_attempts": 0, "nli_calls": 0, "llm_input_tokens": 0, "llm_output_tokens": 0, "num_nodes": 1})
                 try:
                     sides = shown[node]
                     questions[node] = generator.contrast(sides[1], sides[0], blacklists[node]) if clusters is not None else generator.about(sides[0], blacklists[node])
-                except Exception:  # whatever the generator raises, the node stays a leaf
+                except Exception as error:  # whatever the generator raises, the node stays a leaf
+                    warnings.warn(f"no hypothesis for node {node!r}: {error!r}", stacklevel=2)
                     metrics[node]["success"] = False
                     del pending[node]
                     continue
@@ -241,28 +341,28 @@ def build_tree(
     return nodes, all_members.select("node_id", "doc_id", F.col("doc_id").alias("pos"))
 
 
-def _representatives(here: DataFrame, clusters: DataFrame | None, texts: DataFrame, config: TreeConfig) -> dict[str, dict[int, list[str]]]:
-    """The texts shown to the generator, by node and cluster (0 where there are none): a bounded number for each node."""
-    n = config.select.n_select
+def _representatives(here: DataFrame, clusters: DataFrame | None, vectors: DataFrame, texts: DataFrame, sizes: dict[str, int], config: TreeConfig) -> dict[str, dict[int, list[str]]]:
+    """The texts shown to the generator, by node and cluster (0 where there are none), cut to their first words.
+
+    Without clusters they are chosen by ``config.select``; with them, the documents nearest to
+    the centres of ``medoids_per_cluster`` parts of each cluster.
+    """
     if clusters is None:
-        chosen = _chosen(here, n if isinstance(n, int) else max(2, config.least_scored), f"llm{config.seed}").withColumn("cluster", F.lit(0))
+        chosen = _chosen(here, vectors, sizes, config.select.n_select, config, ["node_id"])
     else:
-        chosen = _chosen(here.join(clusters, ["node_id", "doc_id"]), config.medoids_per_cluster, f"llm{config.seed}", ["cluster"])
+        chosen = _chosen(here.join(clusters, ["node_id", "doc_id"]), vectors, sizes, config.medoids_per_cluster, config, ["node_id", "cluster"])
     shown: dict[str, dict[int, list[str]]] = {}
-    for r in chosen.join(texts, "doc_id").orderBy("node_id", "cluster", "doc_id").collect():
-        shown.setdefault(r["node_id"], {}).setdefault(r["cluster"], []).append(" ".join(r["text"].split()[:350]))
+    cut = texts.select("doc_id", T.crop_words(F.col("text"), SHOWN_WORDS).alias("text"))
+    for r in chosen.join(cut, "doc_id").orderBy("node_id", "cluster", "doc_id").collect():
+        shown.setdefault(r["node_id"], {}).setdefault(r["cluster"], []).append(r["text"])
     return shown
 
 
 def _split(here: DataFrame, clusters: DataFrame | None, vectors: DataFrame, texts: DataFrame, sizes: dict[str, int], questions: dict[str, str], scorer: EntailmentScorer, config: TreeConfig) -> DataFrame:
     """``(node_id, doc_id, label, answer, confidence)``: entailment of a sample, spread to all documents of each node."""
     spark = here.sparkSession
-    asked = spark.createDataFrame([(n, questions[n], max(config.least_scored, how_many(s, config.n_scored))) for n, s in sizes.items()], "node_id string, hypothesis string, quota int")
-    from pyspark.sql import Window
-
-    order = F.md5(F.concat(F.lit(f"nli{config.seed}:"), "node_id", F.lit(":"), F.col("doc_id").cast("string")))
-    ranked = here.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(order, "doc_id")))
-    sample = ranked.join(F.broadcast(asked), "node_id").where("r <= quota").select("node_id", "doc_id", "hypothesis")
+    asked = spark.createDataFrame([(n, questions[n], max(config.least_scored, how_many(s, config.n_scored)), s) for n, s in sizes.items()], "node_id string, hypothesis string, quota int, size long")
+    sample = _first(here, asked, f"nli{config.seed}").select("node_id", "doc_id", "hypothesis")
     logits = nli.pooled_logits(sample.select("doc_id").distinct().join(texts, "doc_id"), sample.select("doc_id", "hypothesis").distinct(), scorer)
     scored = nli.nli_logits(logits).select("doc_id", "hypothesis", "p_entailment")
     answers = sample.join(scored, ["doc_id", "hypothesis"]).select("node_id", "doc_id", (F.col("p_entailment") > 0.5).cast("int").alias("answer"), F.greatest("p_entailment", 1 - F.col("p_entailment")).alias("confidence"))

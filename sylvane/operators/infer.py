@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvane.operators import nli
-from sylvane.operators.metrics import contingency  # noqa: F401  (re-exported for evaluations)
 from sylvane.operators.models import EntailmentScorer
 
 

@@ -154,6 +154,21 @@ def bow_decision_tree(spark, sf_dir):
     return baselines.word_tree(*split(rows, "doc_id"), least=5).select("doc_id", "label", "predicted", "leaf")
 
 
+def sampled_tree(spark, sf_dir, strategy):
+    docs = documents(spark, sf_dir)
+    config = build.TreeConfig(max_depth=1, min_node_size=20, max_retries=0, select=SamplingConfig(strategy, 9), n_scored=0.3)
+    nodes, _ = build.build_tree(docs, embed_documents(docs, HashingEmbedder(64)), config)
+    return nodes.select("node_id", "question", "n_docs", "is_leaf")
+
+
+def votek_tree_build(spark, sf_dir):
+    return sampled_tree(spark, sf_dir, "vote_k")
+
+
+def kmeans_sampled_tree_build(spark, sf_dir):
+    return sampled_tree(spark, sf_dir, "kmeans")
+
+
 def vector_decision_tree(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("double"))
     return baselines.vector_tree(*split(rows, "vec_id"), least=5).select("vec_id", "label", "predicted", "leaf")
@@ -202,7 +217,7 @@ QUERIES = {
     for f in (
         nli_scores, nli_logits, zero_shot_negated, entailment_search, logical_pairs, functional_similarity, issue_findings, issue_depths, tree_inference, path_texts,
         random_paths, topic_diversity_full, topic_diversity_paths, judge_averages, inference_report, generation_fidelity, best_method, hashed_embeddings,
-        topic_tree_build, kmeans_tree_build, bow_decision_tree, vector_decision_tree, density_clusters, topic_words,
+        topic_tree_build, kmeans_tree_build, votek_tree_build, kmeans_sampled_tree_build, bow_decision_tree, vector_decision_tree, density_clusters, topic_words,
     )
 }
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,59 @@ def test_approximate_neighbours(spark):
     whole = {(r["src"], r["dst"], r["rank"]) for r in knn.knn(few, few, 5).collect()}
     assert {(r["src"], r["dst"], r["rank"]) for r in knn.ivf_knn(few, 5, cells=7, probes=7, size=40).collect()} == whole
     assert knn.ivf_knn(few.where("false"), 5).count() == 0
+
+
+class Shown:
+    """A generator that keeps what it is shown."""
+
+    def __init__(self):
+        self.seen = []
+
+    def about(self, texts, avoid):
+        self.seen.append(list(texts))
+        return f'The text mentions "{texts[0].split()[0].lower()}"'
+
+    def contrast(self, a, b, avoid):
+        self.seen.append([*a, "|", *b])
+        return f'The text mentions "{a[0].split()[0].lower()}"'
+
+
+def test_the_builder_honours_its_sampler(spark, monkeypatch):
+    texts = [f"{w} w{i}" for w in ("cat", "dog", "owl") for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = models.embed_documents(docs, models.HashingEmbedder(32)).checkpoint()
+    rows = vectors.orderBy("doc_id").collect()
+    x = np.array([r["embedding"] for r in rows])
+    named = vectors.withColumnRenamed("doc_id", "vec_id")
+    kinds = {"vote_k": 4, "kmeans": 3, "random": 0.25}
+    expected = {"vote_k": sampling.vote_k(sampling.votes(named, 5), 4), "random": [r["doc_id"] for r in build._first(vectors.withColumn("node_id", F.lit("")), spark.createDataFrame([("", 6, 24)], "node_id string, quota int, size long"), "llm42").collect()]}
+    assert build.greedy_votes(x, 4, 5) == expected["vote_k"]
+    for dense in (build.DENSE_NODE, 3):  # in one task, and spread over the cluster
+        monkeypatch.setattr(build, "DENSE_NODE", dense)
+        for strategy, n in kinds.items():
+            if dense == 3 and strategy == "vote_k":
+                continue  # votes(), whose result is compared above
+            generator = Shown()
+            config = build.TreeConfig(max_depth=1, max_retries=0, select=sampling.SamplingConfig(strategy, n, k_neighbors=5))
+            build.build_tree(docs, vectors, config, generator=generator)
+            (shown,) = generator.seen
+            if strategy == "kmeans":
+                assert len(shown) == 3 and len({t.split()[0] for t in shown}) >= 2
+            else:
+                assert sorted(shown) == sorted(texts[i] for i in expected[strategy]), strategy
+    with pytest.raises(ValueError, match="selection strategy"):
+        build.build_tree(docs, vectors, build.TreeConfig(select=sampling.SamplingConfig("other")), generator=Shown())
+
+
+def test_clusters_are_the_same_in_one_task_and_spread(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{w} {w} {w} x{i % 3}") for i, w in enumerate(["cat", "dog"] * 9)], "doc_id long, text string")
+    vectors = models.embed_documents(docs, models.HashingEmbedder(32)).checkpoint()
+    found = []
+    for dense in (build.DENSE_NODE, 3):
+        monkeypatch.setattr(build, "DENSE_NODE", dense)
+        _, at = build.build_tree(docs, vectors, build.TreeConfig(max_depth=1, max_retries=0, split="kmeans", nli_overrides_kmeans=False), generator=Shown())
+        sides = {}
+        for r in at.where("node_id <> ''").collect():
+            sides.setdefault(r["node_id"], set()).add(r["doc_id"])
+        found.append(sorted(map(sorted, sides.values())))
+    assert found[0] == found[1] == [list(range(0, 18, 2)), list(range(1, 18, 2))]
