@@ -36,9 +36,12 @@ def test_stages(spark, tmp_path):
     assert packing.CAPACITY >= max(r["length"] + r["offset"] for r in after.collect())
 
 
-def test_stages_take_odd_rows(spark, odd_docs, no_docs):
+def test_stages_take_odd_rows(spark, odd_docs, odd_rows, no_docs):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, odd_docs, SF).columns == odd_docs.columns, name
         assert stage(spark, no_docs, SF).count() == 0, name
         stage(spark, odd_docs, SF).count()
     assert corpus_pipeline.STAGES[4][1](spark, no_docs, SF).count() == 0
+    packed = corpus_pipeline.STAGES[4][1](spark, odd_docs, SF).collect()
+    ids = [r[0] for r in odd_rows]
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in packed if r["piece"] == 0) == sorted(-1 if i is None else i for i in ids)
