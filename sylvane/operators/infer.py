@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvane.operators import nli
@@ -51,6 +51,24 @@ def classify(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: Data
     return walk(docs, nodes, scorer, id_col, text_col).join(F.broadcast(leaf_labels(nodes, members, labels)), "node_id", "left")
 
 
+def path_documents(paths: DataFrame, members: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """``(path_no, doc_id)``: up to ``most`` documents of each path's leaf, without replacement.
+
+    A leaf's documents are ordered by a key of the seed, and every path takes the run of them
+    that begins at a place of its own, so the work is one ranking and a join of equal keys.
+    """
+    hashed = lambda *c: F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *c)), F.lit(8)), 16, 10).cast("long")
+    wanted = paths.select("node_id").distinct()
+    w = Window.partitionBy("node_id")
+    ranked = members.join(F.broadcast(wanted), "node_id", "left_semi").select(
+        "node_id", "doc_id", (F.row_number().over(w.orderBy(hashed(F.col("doc_id").cast("string")), "doc_id")) - 1).alias("r"), F.count("*").over(w).alias("size")
+    )
+    sizes = ranked.where("r = 0").select("node_id", "size")
+    begun = paths.join(sizes, "node_id").select("path_no", "node_id", "size", (hashed(F.lit("path"), F.col("path_no").cast("string")) % F.col("size")).alias("start"))
+    places = begun.select("path_no", "node_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.when(i < F.col("size"), (F.col("start") + i) % F.col("size")))).alias("r"))
+    return places.where("r is not null").join(ranked.select("node_id", "r", "doc_id"), ["node_id", "r"]).select("path_no", "doc_id")
+
+
 def random_paths(nodes: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``(path_no, node_id, path)``: n paths by fair, keyed coins; a coin for a missing child takes the other one."""
     spark = nodes.sparkSession

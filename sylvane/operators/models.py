@@ -28,6 +28,21 @@ class EntailmentScorer(Protocol):
         """STRUCT<e, c, n: DOUBLE>: entailment, contradiction and neutral logits."""
 
 
+def once(scorer: EntailmentScorer, premise: Column) -> Column:
+    """What a scorer reads of a premise whatever the hypothesis; computed below the join with the hypotheses."""
+    return scorer.premise(premise) if hasattr(scorer, "premise") else premise
+
+
+def asked(scorer: EntailmentScorer, hypothesis: Column) -> Column:
+    """What a scorer reads of a hypothesis whatever the premise."""
+    return scorer.hypothesis(hypothesis) if hasattr(scorer, "hypothesis") else hypothesis
+
+
+def compared(scorer: EntailmentScorer, premise: Column, hypothesis: Column) -> Column:
+    """The logits from what `once` and `asked` gave."""
+    return scorer.compare(premise, hypothesis) if hasattr(scorer, "compare") else scorer.logits(premise, hypothesis)
+
+
 class HypothesisGenerator(Protocol):
     def about(self, texts: list[str], avoid: list[str]) -> str:
         """A statement that is true of about half of the texts."""
@@ -75,10 +90,18 @@ class LexicalEntailment:
         found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
         return F.filter(found, lambda w: ~w.isin(*T.STOP_WORDS))
 
+    def premise(self, text: Column) -> Column:
+        return self.words(text)
+
+    def hypothesis(self, text: Column) -> Column:
+        quoted = F.regexp_extract(text, '"([^"]+)"', 1)
+        return self.words(F.when(quoted != "", quoted).otherwise(text))
+
     def logits(self, premise: Column, hypothesis: Column) -> Column:
-        quoted = F.regexp_extract(hypothesis, '"([^"]+)"', 1)
-        asked = self.words(F.when(quoted != "", quoted).otherwise(hypothesis))
-        r = F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, self.words(premise))) / F.when(F.size(asked) > 0, F.size(asked)))
+        return self.compare(self.premise(premise), self.hypothesis(hypothesis))
+
+    def compare(self, words: Column, asked: Column) -> Column:
+        r = F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, words)) / F.when(F.size(asked) > 0, F.size(asked)))
         return F.struct((4 * r - 2).alias("e"), (2 - 4 * r).alias("c"), F.lit(0.0).alias("n"))
 
 

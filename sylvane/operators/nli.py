@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvane.functions.scores import bernoulli_js_similarity, entropy2, softmax
 from sylvane.operators.chunking import chunk_documents
-from sylvane.operators.models import EntailmentScorer
+from sylvane.operators.models import EntailmentScorer, asked, compared, once
 
 
 def pooled_logits(docs: DataFrame, hypotheses: DataFrame, scorer: EntailmentScorer, id_col: str = "doc_id", text_col: str = "text", size: int = 350, overlap: int = 50, max_characters: int = 2000) -> DataFrame:
@@ -16,9 +16,12 @@ def pooled_logits(docs: DataFrame, hypotheses: DataFrame, scorer: EntailmentScor
     ``hypotheses`` has a column ``hypothesis``, and ``doc_id`` as well where each document has
     its own; without it every document meets every hypothesis, whose table is small.
     """
-    chunks = chunk_documents(docs, id_col, text_col, size, overlap, max_characters).withColumnRenamed(id_col, "doc_id")
-    met = chunks.join(hypotheses, "doc_id") if "doc_id" in hypotheses.columns else chunks.crossJoin(F.broadcast(hypotheses.select("hypothesis").distinct()))
-    scored = met.select("doc_id", "hypothesis", scorer.logits(F.col("chunk"), F.col("hypothesis")).alias("l"))
+    chunks = chunk_documents(docs, id_col, text_col, size, overlap, max_characters).select(F.col(id_col).alias("doc_id"), once(scorer, F.col("chunk")).alias("p"))
+    own = "doc_id" in hypotheses.columns
+    table = hypotheses if own else hypotheses.select("hypothesis").distinct()
+    table = table.withColumn("h", asked(scorer, F.col("hypothesis")))
+    met = chunks.join(table, "doc_id") if own else chunks.crossJoin(F.broadcast(table))
+    scored = met.select("doc_id", "hypothesis", compared(scorer, F.col("p"), F.col("h")).alias("l"))
     return scored.groupBy("doc_id", "hypothesis").agg(F.max("l.e").alias("e"), F.max("l.c").alias("c"), F.max("l.n").alias("n"))
 
 
@@ -46,14 +49,20 @@ def zero_shot(logits: DataFrame, positive: str, negative: str) -> DataFrame:
     return p.select("doc_id", (F.col("p") > F.col("q")).alias("entailed"))
 
 
-def logical_pairs(docs: DataFrame, scorer: EntailmentScorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(i, j, sim)``, i < j: the geometric mean of the entailment scores both ways; 0 if a text has under 3 characters."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+def logical_pairs(docs: DataFrame, scorer: EntailmentScorer, id_col: str = "doc_id", text_col: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``(by..., i, j, sim)``, i < j of one group: the geometric mean of the entailment scores both ways.
+
+    It is 0 if a text has under 3 characters. As many rows as pairs, so for groups of bounded size.
+    """
+    by = by or []
+    text = F.col(text_col)
+    rows = docs.select(*by, F.col(id_col).alias("id"), (F.length(text) < 3).alias("short"), once(scorer, text).alias("p"), asked(scorer, text).alias("h"))
     a, b = rows.alias("a"), rows.alias("b")
-    score = lambda x, y: softmax(*[scorer.logits(F.col(x), F.col(y))[k] for k in ("e", "c", "n")])[0]
-    both = F.sqrt(score("a.t", "b.t") * score("b.t", "a.t"))
-    short = (F.length("a.t") < 3) | (F.length("b.t") < 3)
-    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.when(short, 0.0).otherwise(both).alias("sim"))
+    score = lambda x, y: softmax(*[compared(scorer, F.col(x), F.col(y))[k] for k in ("e", "c", "n")])[0]
+    both = F.sqrt(score("a.p", "b.h") * score("b.p", "a.h"))
+    met = [*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in by], F.col("a.id") < F.col("b.id")]
+    named = [F.col(f"a.{c}").alias(c) for c in by]
+    return a.join(b, met).select(*named, F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.when(F.col("a.short") | F.col("b.short"), 0.0).otherwise(both).alias("sim"))
 
 
 def functional_pairs(scores: DataFrame) -> DataFrame:

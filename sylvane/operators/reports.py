@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from sylvane.functions import text as T
 from sylvane.operators import metrics as M
 from sylvane.operators import tree
 from sylvane.operators.tree import SPLIT_METRICS
+from sylvane.session import ensure_checkpoint_dir
 
 #: What the plain sum of split metrics leaves out; the corrected sum has all.
 NOT_SUMMED = ("kmeans_time_ms", "medoid_selection_time_ms", "medoid_label_propagation_accuracy")
@@ -37,6 +40,11 @@ def tree_statistics(nodes: DataFrame) -> DataFrame:
     return sums
 
 
+def size_points(nodes: DataFrame, value: str) -> DataFrame:
+    """``(n_docs, x, n)``: how often a node of this size has this value of a metric; the points of a scatter plot."""
+    return nodes.where(F.col(value).isNotNull()).groupBy("n_docs", F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
+
+
 def usage(rows: DataFrame, tokens_in: str, tokens_out: str, time_ms: str) -> DataFrame:
     """One row: token totals, tokens for each node, correlation of output tokens and time."""
     total = F.sum(F.col(tokens_in) + F.col(tokens_out))
@@ -55,8 +63,10 @@ def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def evaluate(nodes: DataFrame, members: DataFrame, labels: DataFrame, max_height: int | None = None) -> DataFrame:
     """One report row of a tree, pruned first where a height is given."""
     kept = nodes if max_height is None else tree.prune(nodes, max_height)
-    rows = M.majority(M.assign_clusters(kept, members), labels)
-    table = M.contingency(rows)
+    ensure_checkpoint_dir(nodes.sparkSession)
+    # both are read by several measures; the table has a row for each cluster and label only
+    rows = M.majority(M.assign_clusters(kept, members), labels).checkpoint()
+    table = M.contingency(rows).checkpoint()
     made = tree.structure(kept).crossJoin(tree.leaf_sizes(kept).select("mean", "std", "relative_std"))
     for part in (M.nmi(table).select(F.col("nmi_arithmetic").alias("nmi")), M.ari(table), M.homogeneity(table), M.accuracy(rows), M.f1(rows)):
         made = made.crossJoin(part)
@@ -100,6 +110,27 @@ def run_names(files: DataFrame, path_col: str = "path") -> DataFrame:
     return files.select(path_col, T.run_parameters(F.col(path_col)).alias("r")).select(path_col, "r.*")
 
 
+def union_reports(reports: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several reports below one another, named in ``report``; a column that one lacks is null there."""
+    made = None
+    for name, report in reports.items():
+        one = report.withColumn("report", F.lit(name))
+        made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+    if made is None:
+        raise ValueError("no report given")
+    return made
+
+
+def union_samples(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Training rows and test rows in one table with ``is_train``; repeated rows stay."""
+    return train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)))
+
+
+def evaluate_files(files: list[str], load: Callable[[str], tuple[DataFrame, DataFrame]], labels: DataFrame, max_height: int | None = None) -> DataFrame:
+    """One report row for each tree file, named in ``report``; ``load`` gives a file's nodes and members."""
+    return union_reports({f: evaluate(*load(f), labels, max_height) for f in files})
+
+
 def inference_report(predicted: DataFrame) -> DataFrame:
     """One row: accuracy, macro F1, NMI and ARI of (label, predicted)."""
     table = M.contingency(predicted, "label", "predicted")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvane.operators import nli
-from sylvane.operators.models import EntailmentScorer
+from sylvane.operators.models import EntailmentScorer, asked, compared, once
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,12 @@ def report(answers: DataFrame) -> DataFrame:
     return answers.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("method", "input", "output"))).alias("answers"))
 
 
+def page_range(pages: DataFrame, page_col: str = "page", start: int = 0, end: int = -1) -> DataFrame:
+    """The pages from ``start`` up to ``end``, which is left out; -1: to the last."""
+    kept = pages.where(F.col(page_col) >= start)
+    return kept if end == -1 else kept.where(F.col(page_col) < end)
+
+
 def issues(pages: DataFrame, problems: dict[str, str], depths: dict[str, str], scorer: EntailmentScorer, page_col: str = "page", text_col: str = "text", start: int = 0, end: int = -1) -> tuple[DataFrame, DataFrame]:
     """(findings, deep findings): pages from ``start`` up to ``end`` (-1: to the last) that entail a problem, and among
     them those whose evidence entails a depth.
@@ -69,11 +75,10 @@ def issues(pages: DataFrame, problems: dict[str, str], depths: dict[str, str], s
     sentence with the largest entailment logit, the first on a tie.
     """
     spark = pages.sparkSession
-    numbered = pages.select(F.col(page_col).alias("page"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.col("page") >= start)
-    numbered = numbered if end == -1 else numbered.where(F.col("page") < end)
-    sentences = numbered.select("page", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("no", "sentence"))
-    asked = spark.createDataFrame(sorted(problems.items()), "problem_name string, hypothesis string")
-    scored = sentences.crossJoin(F.broadcast(asked)).select("page", "problem_name", "no", "sentence", scorer.logits(F.col("sentence"), F.col("hypothesis")).alias("l"))
+    numbered = page_range(pages.select(F.col(page_col).alias("page"), F.coalesce(text_col, F.lit("")).alias("text")), "page", start, end)
+    sentences = numbered.select("page", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("no", "sentence")).withColumn("p", once(scorer, F.col("sentence")))
+    table = spark.createDataFrame(sorted(problems.items()), "problem_name string, hypothesis string").select("problem_name", asked(scorer, F.col("hypothesis")).alias("h"))
+    scored = sentences.crossJoin(F.broadcast(table)).select("page", "problem_name", "no", "sentence", compared(scorer, F.col("p"), F.col("h")).alias("l"))
     best = scored.groupBy("page", "problem_name").agg(F.max_by(F.struct("sentence", "l"), F.struct("l.e", (-F.col("no")).alias("o"))).alias("b"))
     findings = best.where("b.l.e > b.l.c").select("page", "problem_name", F.col("b.sentence").alias("evidence"))
     levels = spark.createDataFrame(sorted(depths.items()), "depth string, hypothesis string")

@@ -127,6 +127,28 @@ def sample_documents(members: DataFrame, most: int = 3) -> DataFrame:
     return ranked.join(sizes, "node_id").select("node_id", "r", "doc_id", "more")
 
 
+def text_dump(nodes: DataFrame, members: DataFrame, texts: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """``(node_id, no, line)``: the tree as indented lines, to be read by node and number.
+
+    Each node has its size, its question, its first documents (their texts, from a table
+    (doc_id, text), or their ids) and how many more there are.
+    """
+    indent = F.repeat(F.lit("  "), F.length("node_id"))
+    side = F.when(F.col("node_id") == "", "").otherwise(F.concat(F.right("node_id", F.lit(1)), F.lit(":")))
+    shown = sample_documents(members, most)
+    if texts is None:
+        shown = shown.withColumn("shown", F.col("doc_id").cast("string"))
+    else:
+        shown = shown.join(texts.select("doc_id", F.col("text").alias("shown")), "doc_id", "left")
+    line = lambda no, text: F.struct(F.lit(no).cast("int").alias("no"), text.alias("line"))
+    heads = nodes.select("node_id", F.inline(F.filter(F.array(
+        line(0, F.concat(indent, side, F.lit("Node with "), F.col("n_docs").cast("string"), F.lit(" documents"))),
+        line(1, F.concat(indent, F.lit("  Question: "), F.col("question"))),
+        line(most + 2, F.when(F.col("n_docs") > most, F.concat(indent, F.lit("  ... and "), (F.col("n_docs") - most).cast("string"), F.lit(" more documents")))),
+    ), lambda x: x["line"].isNotNull())))
+    return heads.unionByName(shown.select("node_id", (F.col("r") + 1).alias("no"), F.concat(indent, F.lit("  - "), F.coalesce("shown", F.lit(""))).alias("line")))
+
+
 # --- interchange: nested JSON, DOT, layout -------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sylvane.functions import text as T
 from sylvane.functions import vectors as V
-from sylvane.operators import baselines, build, infer, metrics, nli, reports, search
+from sylvane.operators import baselines, build, infer, metrics, nli, pairs, reports, search
 from sylvane.operators.models import HashingEmbedder, LexicalEntailment, embed_documents
 from sylvane.operators.sampling import SamplingConfig, stratified_split
 from sylvane.plans.text_queries import chunks_sql, read
@@ -51,6 +51,14 @@ def logical_pairs(spark, sf_dir):
     return rounded(nli.logical_pairs(read(spark, sf_dir, "benchmark"), LexicalEntailment(), "item_id"), "sim")
 
 
+def logical_by_category(spark, sf_dir):
+    """Logical similarity of the turns of each conversation, in the report of all components."""
+    turns = read(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text", "conv_id")
+    made = pairs.similarity_report(turns, "id", "text", categories=["conv_id"], n=1, scorer=LexicalEntailment())
+    number = lambda c, d: F.when(~F.isnan(c), F.round(c, d))
+    return made.select("category", "n", number("logical.mean", 6).alias("mean"), number("logical.std", 5).alias("std"))
+
+
 def functional_similarity(spark, sf_dir):
     scores = nli.nli_results(logits(spark, sf_dir)).select("hypothesis", F.col("doc_id").alias("premise"), F.col("entailment_score").alias("p"))
     return rounded(nli.functional_pairs(scores), "sim")
@@ -87,6 +95,13 @@ def random_paths(spark, sf_dir):
     return infer.random_paths(question_tree(spark), n, 42).select("path_no", "node_id")
 
 
+def path_levels(spark, sf_dir):
+    """Levels that each random path shares with the next one, every second of which is cut after a level."""
+    paths = infer.random_paths(question_tree(spark), documents(spark, sf_dir).count(), 42)
+    after = paths.select((F.col("path_no") - 1).alias("path_no"), F.slice("path", F.lit(1), (1 + F.col("path_no") % 2).cast("int")).alias("other"))
+    return paths.join(after, "path_no").select("path_no", T.equal_levels(F.col("path"), F.col("other")).alias("levels"))
+
+
 def topic_nodes(spark):
     return spark.createDataFrame([(n, q, len(n) == 2) for n, q in TOPICS], "node_id string, question string, is_leaf boolean")
 
@@ -215,8 +230,8 @@ _LABELLED = "documents JOIN labels USING (doc_id)"
 QUERIES = {
     f.__name__: f
     for f in (
-        nli_scores, nli_logits, zero_shot_negated, entailment_search, logical_pairs, functional_similarity, issue_findings, issue_depths, tree_inference, path_texts,
-        random_paths, topic_diversity_full, topic_diversity_paths, judge_averages, inference_report, generation_fidelity, best_method, hashed_embeddings,
+        nli_scores, nli_logits, zero_shot_negated, entailment_search, logical_pairs, logical_by_category, functional_similarity, issue_findings, issue_depths, tree_inference, path_texts,
+        random_paths, path_levels, topic_diversity_full, topic_diversity_paths, judge_averages, inference_report, generation_fidelity, best_method, hashed_embeddings,
         topic_tree_build, kmeans_tree_build, votek_tree_build, kmeans_sampled_tree_build, bow_decision_tree, vector_decision_tree, density_clusters, topic_words,
     )
 }
@@ -230,6 +245,13 @@ ORACLES = {
     "logical_pairs": f"""WITH w AS (SELECT item_id AS id, text, {_TOKENS.format('text')} AS w FROM benchmark),
       r AS (SELECT a.id AS i, b.id AS j, length(a.text) < 3 OR length(b.text) < 3 AS short, CASE WHEN len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(b.w)::DOUBLE END AS f, CASE WHEN len(a.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(a.w)::DOUBLE END AS g FROM w a JOIN w b ON a.id < b.id)
       SELECT i, j, round(CASE WHEN short THEN 0 ELSE sqrt(exp(4 * f - 2) / (exp(4 * f - 2) + exp(2 - 4 * f) + 1) * exp(4 * g - 2) / (exp(4 * g - 2) + exp(2 - 4 * g) + 1)) END, 6) AS sim FROM r""",
+    "logical_by_category": f"""WITH w AS (SELECT conv_id, conv_id || ':' || turn AS id, text, {_TOKENS.format('text')} AS w FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL),
+      r AS (SELECT a.conv_id, length(a.text) < 3 OR length(b.text) < 3 AS short, CASE WHEN len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(b.w)::DOUBLE END AS f, CASE WHEN len(a.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(a.w)::DOUBLE END AS g FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.id < b.id),
+      s AS (SELECT conv_id, CASE WHEN short THEN 0 ELSE sqrt(exp(4 * f - 2) / (exp(4 * f - 2) + exp(2 - 4 * f) + 1) * exp(4 * g - 2) / (exp(4 * g - 2) + exp(2 - 4 * g) + 1)) END AS sim FROM r),
+      q AS (SELECT conv_id, avg(sim) AS mean, sqrt(greatest(avg(sim * sim) - avg(sim) ** 2, 0)) AS std FROM s GROUP BY conv_id)
+      SELECT CAST(c.conv_id AS VARCHAR) AS category, c.n, round(mean, 6) AS mean, round(std, 5) AS std FROM (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id) c LEFT JOIN q USING (conv_id)""",
+    "path_levels": """WITH c AS (SELECT i, strpos('0123456789abcdef', left(md5('42:' || i || ':0'), 1)) % 2 AS a, strpos('0123456789abcdef', left(md5('42:' || i || ':1'), 1)) % 2 AS b FROM range((SELECT count(*) FROM documents)) t(i))
+      SELECT x.i AS path_no, CASE WHEN y.i % 2 = 0 OR x.a <> y.a THEN 0 WHEN x.b = y.b THEN 2 ELSE 1 END AS levels FROM c x JOIN c y ON y.i = x.i + 1""",
     "functional_similarity": f"{_logits_sql(HYPOTHESES)} SELECT a.hypothesis AS i, b.hypothesis AS j, round(avg({_JS('a.p3', 'b.p3')}), 6) AS sim FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.hypothesis < b.hypothesis GROUP BY ALL",
     "tree_inference": f"{_WALK} SELECT doc_id, node_id, {_YES.format('first')} || '>' || {_YES.format('right(node_id, 1)')} AS decisions FROM two",
     "path_texts": f"""{_WALK} SELECT doc_id, 'Question: ' || (SELECT question FROM q WHERE q.node_id = '') || '? Answer: ' || CASE WHEN first = 'L' THEN 'Yes' ELSE 'No' END || chr(10) || 'Question: ' || q.question || '? Answer: ' || CASE WHEN right(two.node_id, 1) = 'L' THEN 'Yes' ELSE 'No' END AS path_text, 2 AS levels

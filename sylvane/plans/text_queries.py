@@ -69,7 +69,14 @@ def category_sizes(spark, sf_dir):
 
 
 def page_range(spark, sf_dir):
-    return read(spark, sf_dir, "pages").where("page_id >= 10 and page_id < 60").select("page_id", "url")
+    return search.page_range(read(spark, sf_dir, "pages"), "page_id", 10, 60).select("page_id", "url")
+
+
+def without_output(spark, sf_dir):
+    """Pages without a result, where every third has one."""
+    files = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id")
+    made = files.where("page_id % 3 = 0").select(F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".csv")).alias("path"))
+    return readers.without_output(files, made)
 
 
 def file_limit(spark, sf_dir):
@@ -103,7 +110,7 @@ def lexical_pooled(spark, sf_dir):
 
 
 def similarity_by_category(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.monotonically_increasing_id().alias("x"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text", F.floor(F.col("conv_id") / 10).alias("block"))
+    turns = read(spark, sf_dir, "conversations").select(F.monotonically_increasing_id().alias("x"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text", F.floor(F.col("conv_id") / 10).alias("block"))
     made = pairs.similarity_report(turns.select("id", "text", "block"), "id", "text", categories=["block"], n=2)
     ok = F.when(F.isnan("lexical.mean"), F.lit(None)).otherwise(F.round("lexical.mean", 6))
     dev = F.when(F.isnan("lexical.std"), F.lit(None)).otherwise(F.round("lexical.std", 5))
@@ -160,6 +167,7 @@ QUERIES = {
     "short_labels": short_labels,
     "category_sizes": category_sizes,
     "page_range": page_range,
+    "without_output": without_output,
     "file_limit": file_limit,
     "run_names": run_names,
     "question_turns": question_turns,
@@ -182,6 +190,7 @@ ORACLES = {
     "top_words": rf"""SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(text, '[^\x00-\x7F]', '', 'g')), '\b\w+\b'), lambda x: x NOT IN ({_STOP}) AND length(x) >= 3)[1:10], ' ') AS words FROM conversations""",
     "short_labels": "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN substring(text, 1, 57) || '...' ELSE text END AS label FROM conversations",
     "category_sizes": "SELECT lang || '_' || source AS category, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1",
+    "without_output": r"WITH f AS (SELECT url AS path, page_id, regexp_replace(url, '\.[^./]*$', '') AS stem FROM pages) SELECT path, page_id FROM f WHERE stem NOT IN (SELECT stem FROM f WHERE page_id % 3 = 0 AND stem IS NOT NULL) OR stem IS NULL",
     "page_range": "SELECT page_id, url FROM pages WHERE page_id >= 10 AND page_id < 60",
     "file_limit": "SELECT url AS path, page_id FROM pages ORDER BY url LIMIT 25",
     "run_names": f"""WITH r AS (SELECT unnest([{_list(RUNS)}]) AS path), s AS (SELECT path, string_split(regexp_replace(string_split(path, '/')[-1], '\\.json$', ''), '_') AS p FROM r)
@@ -192,7 +201,7 @@ ORACLES = {
     "lexical_pooled": f"""WITH s AS (SELECT item_id AS id, text FROM benchmark), {_jaccard_sql('s', 3)}, c AS (SELECT count(*) AS n FROM benchmark),
       q AS (SELECT coalesce(sum(sim), 0) AS s, coalesce(sum(sim * sim), 0) AS q FROM p)
       SELECT n, round(s / (n * (n - 1) / 2.0), 6) AS mean, round(sqrt(q / (n * (n - 1) / 2.0) - (s / (n * (n - 1) / 2.0)) ** 2), 6) AS std FROM c, q""",
-    "similarity_by_category": f"""WITH s AS (SELECT conv_id || ':' || turn AS id, text, CAST(conv_id // 10 AS VARCHAR) AS block FROM conversations WHERE role = 'user'), {_jaccard_sql('s', 2, 'block')},
+    "similarity_by_category": f"""WITH s AS (SELECT conv_id || ':' || turn AS id, text, CAST(conv_id // 10 AS VARCHAR) AS block FROM conversations), {_jaccard_sql('s', 2, 'block')},
       c AS (SELECT block, count(*) AS n FROM s GROUP BY block), q AS (SELECT grp, sum(sim) AS s, sum(sim * sim) AS q FROM p GROUP BY grp), z AS (SELECT block, n, n * (n - 1) / 2.0 AS m, coalesce(s, 0) AS s, coalesce(q, 0) AS q FROM c LEFT JOIN q ON block = grp)
       SELECT block AS category, n, CASE WHEN m > 0 THEN round(s / m, 6) END AS mean, CASE WHEN m > 0 THEN round(sqrt(greatest(q / m - (s / m) ** 2, 0)), 5) END AS std FROM z""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sylvane.operators import knn, metrics, pairs, reports, sampling, tree
+from sylvane.operators import infer, knn, metrics, pairs, reports, sampling, tree
 from sylvane.plans.text_queries import read
 
 DEPTH = 2
@@ -189,6 +189,34 @@ def sample_documents(spark, sf_dir):
     return tree.sample_documents(members(spark, sf_dir))
 
 
+def text_dump(spark, sf_dir):
+    made = members(spark, sf_dir)
+    return tree.text_dump(tree.nodes_of(made), made)
+
+
+def path_documents(spark, sf_dir):
+    """Three documents of its leaf for each row, whose path is the one to it."""
+    made = members(spark, sf_dir)
+    leaves = tree.nodes_of(made).where("is_leaf").select("node_id")
+    paths = made.join(leaves, "node_id", "left_semi").select(F.col("doc_id").alias("path_no"), "node_id")
+    return infer.path_documents(paths, made, 3)
+
+
+def union_reports(spark, sf_dir):
+    whole, cut = tree.nodes_of(members(spark, sf_dir)), pruned(spark, sf_dir)[0]
+    return reports.union_reports({"whole": tree.structure(whole), "pruned": tree.structure(cut)})
+
+
+def union_samples(spark, sf_dir):
+    parts = stratified_split(spark, sf_dir)
+    side = lambda flag: parts.where(F.col("is_train") == flag).select("vec_id")
+    return reports.union_samples(side(True), side(False))
+
+
+def size_points(spark, sf_dir):
+    return reports.size_points(tree.nodes_of(members(spark, sf_dir)), "depth")
+
+
 def dot_labels(spark, sf_dir):
     return tree.node_labels(tree.nodes_of(members(spark, sf_dir)))
 
@@ -352,10 +380,10 @@ QUERIES = {
     for f in (
         pairwise_cosine, semantic_pooled, semantic_by_label, knn_graph, affinity_edges, adaptive_sigma, label_propagation, label_propagation_converged,
         knn_classifier, index_top_k, lsh_neighbours, votek_votes, votek_sample, random_sample, stratified_split, medoids_by_label, kmeans_sample, two_means,
-        halving_tree_nodes, halving_tree_membership, noisy_tree_membership, split_metrics_sum, tree_statistics, prune_tree, tree_structure, leaf_sizes, find_leaf, sample_documents, dot_labels, tree_layout,
+        halving_tree_nodes, halving_tree_membership, noisy_tree_membership, split_metrics_sum, tree_statistics, prune_tree, tree_structure, leaf_sizes, find_leaf, sample_documents, text_dump, path_documents, dot_labels, tree_layout,
         cluster_assignment, contingency, nmi_all, homogeneity, ari, majority_labels, accuracy, f1_all, classification_report, confusion_matrix,
         leaf_purity, purity_summary, isolation_depth, exploratory_power, leaf_bundle, tree_report, silhouette, davies_bouldin, calinski_harabasz, child_parent,
-        vector_histogram, token_usage, experiment_grid,
+        vector_histogram, token_usage, experiment_grid, union_reports, union_samples, size_points,
     )
 }
 
@@ -383,6 +411,19 @@ ORACLES = {
       abs(coalesce(max(n_docs) FILTER (node_id = 'L'), 0) - coalesce(max(n_docs) FILTER (node_id = 'R'), 0)) AS doc_unbalance FROM nodes""",
     "leaf_sizes": f"WITH {TREE} SELECT string_agg(n_docs, ',' ORDER BY node_id) AS sizes, round(avg(n_docs), 6) AS mean, round(stddev_pop(n_docs), 6) AS std, min(n_docs) AS least, max(n_docs) AS greatest, round(stddev_pop(n_docs) / avg(n_docs), 6) AS relative_std FROM p WHERE is_leaf",
     "find_leaf": f"WITH {TREE} SELECT doc_id, node_id FROM m JOIN nodes USING (node_id) WHERE is_leaf",
+    "text_dump": f"""WITH {TREE}, i AS (SELECT *, repeat('  ', length(node_id)) AS pre FROM nodes), r AS (SELECT node_id, doc_id, row_number() OVER (PARTITION BY node_id ORDER BY doc_id) AS r FROM m)
+      SELECT node_id, 0 AS no, pre || CASE WHEN node_id = '' THEN '' ELSE right(node_id, 1) || ':' END || 'Node with ' || n_docs || ' documents' AS line FROM i
+      UNION ALL SELECT node_id, CAST(r + 1 AS INTEGER), repeat('  ', length(node_id)) || '  - ' || doc_id FROM r WHERE r <= 3
+      UNION ALL SELECT node_id, 5, pre || '  ... and ' || (n_docs - 3) || ' more documents' FROM i WHERE n_docs > 3""",
+    "path_documents": f"""WITH {TREE}, s AS (SELECT node_id, doc_id, row_number() OVER (PARTITION BY node_id ORDER BY CAST('0x' || left(md5('42:' || doc_id), 8) AS BIGINT), doc_id) - 1 AS r, count(*) OVER (PARTITION BY node_id) AS size FROM m JOIN nodes USING (node_id) WHERE is_leaf),
+      b AS (SELECT doc_id AS path_no, node_id, size, (CAST('0x' || left(md5('42:path:' || doc_id), 8) AS BIGINT) % size + i) % size AS r FROM s JOIN range(3) t(i) ON i < size)
+      SELECT path_no, s.doc_id FROM b JOIN s ON s.node_id = b.node_id AND s.r = b.r""",
+    "union_reports": f"""WITH {TREE}, a AS (SELECT 'whole' AS report, * FROM nodes UNION ALL SELECT 'pruned', * FROM p)
+      SELECT count(*) AS n_nodes, CAST(max(length(node_id)) AS INTEGER) AS height, count(*) FILTER (is_leaf) AS n_leaves,
+      CAST(abs(coalesce(max(length(node_id) - 1) FILTER (starts_with(node_id, 'L')), -1) - coalesce(max(length(node_id) - 1) FILTER (starts_with(node_id, 'R')), -1)) AS INTEGER) AS node_unbalance,
+      abs(coalesce(max(n_docs) FILTER (node_id = 'L'), 0) - coalesce(max(n_docs) FILTER (node_id = 'R'), 0)) AS doc_unbalance, report FROM a GROUP BY report""",
+    "union_samples": "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.8) AS is_train FROM embeddings",
+    "size_points": f"WITH {TREE} SELECT n_docs, CAST(length(node_id) AS DOUBLE) AS x, count(*) AS n FROM nodes GROUP BY ALL",
     "sample_documents": f"WITH {TREE} SELECT node_id, CAST(r AS INTEGER) AS r, doc_id, greatest(c - 3, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY node_id) AS c FROM m) WHERE r <= 3",
     "dot_labels": f"WITH {TREE} SELECT CAST(row_number() OVER (ORDER BY length(node_id), node_id) - 1 AS INTEGER) AS rank, node_id, 'Docs: ' || n_docs AS label, CASE WHEN is_leaf THEN 'lightgreen' ELSE 'lightblue' END AS colour FROM nodes",
     "cluster_assignment": f"WITH {CLUSTERS} SELECT doc_id, CAST(cluster AS INTEGER) AS cluster FROM cl",

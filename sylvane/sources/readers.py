@@ -39,9 +39,9 @@ def whole_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
-def text_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(path, text)``, a whole file in each row."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def text_files(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """``(path, text)``, a whole file in each row; ``recursive``: those of all folders below as well."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def first_files(files: DataFrame, n: int | None) -> DataFrame:
@@ -84,6 +84,13 @@ def recipe(path: str) -> Recipe:
     return Recipe(**{f.name: tuple(given.get(f.name) or ()) for f in dataclasses.fields(Recipe)})
 
 
+def without_output(files: DataFrame, outputs: DataFrame, suffix: str = ".csv", path_col: str = "path") -> DataFrame:
+    """The files whose result, the same path with another suffix, is not among the outputs yet."""
+    result = F.concat(F.regexp_replace(F.col(path_col), r"\.[^./]*$", ""), F.lit(suffix))
+    done = outputs.select(F.col(path_col).alias("__done")).distinct()
+    return files.join(done, result == F.col("__done"), "left_anti")
+
+
 def configured(cls: type, data: dict | None = None, override: dict | None = None):
     """A settings object from the section named like its class, another section's values on top of a copy of it."""
     given = dict((data or {}).get(cls.__name__, {})) | dict(override or {})
