@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 
 from sylvane.frames import numbered
 from sylvane.llm import packing, pii, quality_model, quality_rules, simhash
+from sylvane.llm.batches import bound_batches
 from sylvane.session import ensure_checkpoint_dir, remove_folder
 
 #: The key of the pseudonyms; a production run takes its own.
 PSEUDONYM_KEY = "sylvane"
 CAPACITY, END_ID = 1024, 2
+#: Bytes of a row group of the stages' files; a task holds one while it writes and one while it reads.
+ROW_GROUP = 16 << 20
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail a rule go from the texts; documents that fail the base rules or lose too much text go."""
+    bound_batches(spark)
     return quality_rules.clean_documents(docs)
 
 
@@ -33,6 +37,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     has removed most of the bad ones. The score is a column of the row: nothing is joined,
     and repeated or missing ids do no harm.
     """
+    bound_batches(spark)
     ensure_checkpoint_dir(spark)
     given, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_model.learn_documents(given, labels)
@@ -49,6 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid numbers, dates and addresses become keyed pseudonyms."""
+    bound_batches(spark)
     return pii.pseudonymise_documents(docs, PSEUDONYM_KEY)
 
 
@@ -71,6 +77,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Parquet with row groups of about ``ROW_GROUP`` bytes."""
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again.
 
@@ -82,7 +93,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}-{name}")
+        write(stage(spark, docs, sf_dir), f"{root}/{i}-{name}")
         docs = spark.read.parquet(f"{root}/{i}-{name}")
         if i:
             remove_folder(spark, f"{root}/{i - 1}-{STAGES[i - 1][0]}")

@@ -7,18 +7,20 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of an Arrow batch, and its bytes where this Spark knows that setting: whole
-#: texts can be long, and a worker holds one batch in and one out.
+#: Rows of an Arrow batch and of a batch of the Parquet reader, and bytes of the former where
+#: this Spark knows that setting: whole texts can be long, a worker holds one batch in and one
+#: out, and the reader's batch is an array on the heap of every task.
 BATCH_ROWS = 512
 BATCH_BYTES = 32 << 20
 
 
 def bound_batches(spark) -> None:
     """Lower the batch limits of the session; a lower limit that is already set stays."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
+    limits = (("execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("execution.arrow.maxBytesPerBatch", BATCH_BYTES))
+    for key, most in (*limits, ("parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        key = f"spark.sql.{key}"
         try:
-            now = int(spark.conf.get(key))
+            now = int(spark.conf.get(key).removesuffix("b"))  # Spark gives bytes as 67108864b
         except Exception:  # this Spark has no such setting, or it is given in other units
             continue
         if now <= 0 or now > most:

@@ -1,7 +1,8 @@
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sylvane.llm import packing, pii, quality_model, quality_rules, simhash
+from sylvane.llm import batches, packing, pii, quality_model, quality_rules, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,18 @@ def test_stages_take_odd_rows(spark, odd_docs, odd_rows, no_docs):
     packed = corpus_pipeline.STAGES[4][1](spark, odd_docs, SF).collect()
     ids = [r[0] for r in odd_rows]
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in packed if r["piece"] == 0) == sorted(-1 if i is None else i for i in ids)
+
+
+def test_stages_bound_what_a_task_holds(spark, tmp_path, no_docs):
+    """The reader's batches, Arrow's batches in bytes, and row groups; the defaults are 4,096 rows, 64 MB and 128 MB."""
+    keys = {"parquet.columnarReaderBatchSize": batches.BATCH_ROWS, "execution.arrow.maxRecordsPerBatch": batches.BATCH_ROWS, "execution.arrow.maxBytesPerBatch": batches.BATCH_BYTES}
+    for name, stage in corpus_pipeline.STAGES:
+        for key in keys:
+            spark.conf.unset(f"spark.sql.{key}")
+        stage(spark, no_docs, SF)
+        assert {k: int(spark.conf.get(f"spark.sql.{k}").removesuffix("b")) for k in keys} == keys, name
+    text = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(800)])
+    corpus_pipeline.write(spark.range(0, 600, 1, 1).select("id", text.alias("text")), f"{tmp_path}/w")
+    (path,) = tmp_path.glob("w/*.parquet")
+    sizes = [pq.ParquetFile(path).metadata.row_group(i).total_byte_size for i in range(pq.ParquetFile(path).metadata.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 1.5 * corpus_pipeline.ROW_GROUP
