@@ -5,11 +5,15 @@ logistic probability of the difference of their worths. The weights minimise the
 loss over pairs of a good and a bad document. The threshold is a quantile of worth: the share
 of bad documents among those learned from. Worth is mapped to (0, 1) so that this quantile
 falls on the contract's decision score.
+
+All labelled rows that are not held out are learned from, wherever they lie: rows get ranks by
+id, chunks of pairs are made by rank, and each Newton step adds up their sums.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvane.frames import narrow
-from sylvane.llm.batches import map_batches
+from sylvane.llm.batches import bound_batches, map_batches
 from sylvane.session import ensure_checkpoint_dir
 
-#: Labelled rows that are learned from at most: those with the least hash of their id.
-MOST_ROWS = 20_000
-#: Parts of the range of hashes that are counted to find them.
+#: Parts of the range of hashes that are counted to find the least ones.
 HASH_BINS = 4096
 #: Preferred documents that each other one is compared with, or more, so that each preferred one is in a pair.
 PARTNERS = 20
+#: Pairs whose differences meet in one chunk.
+CHUNK = 1 << 13
 RIDGE = 1e-3
 #: The score at the quantile of worth that separates.
 DECISION = 0.3
@@ -125,15 +129,38 @@ class Model(NamedTuple):
     threshold: float
     slope: float
 
-    def score(self, x: Column) -> Column:
-        """The score of a feature array: DECISION at the threshold, growing with worth."""
+    def worth(self, x: Column) -> Column:
+        """The worth of a feature array."""
         per_feature = [w / s for w, s in zip(self.weights, self.scale)]
         offset = sum(w * c for w, c in zip(per_feature, self.centre))
-        worth = sum((F.lit(w) * F.get(x, F.lit(i)) for i, w in enumerate(per_feature)), F.lit(-offset))
-        log_odds = F.lit(self.slope) * (worth - F.lit(self.threshold)) + F.lit(float(np.log(DECISION / (1 - DECISION))))
+        return sum((F.lit(w) * F.get(x, F.lit(i)) for i, w in enumerate(per_feature)), F.lit(-offset))
+
+    def score(self, x: Column) -> Column:
+        """The score of a feature array: DECISION at the threshold, growing with worth."""
+        log_odds = F.lit(self.slope) * (self.worth(x) - F.lit(self.threshold)) + F.lit(float(np.log(DECISION / (1 - DECISION))))
         return 1 / (1 + F.exp(-F.greatest(F.least(log_odds, F.lit(30.0)), F.lit(-30.0))))
 
 
+def pair_sums(difference: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient of minus the log likelihood of these pairs, then its Hessian by rows, then how many they are."""
+    p = 1 / (1 + np.exp(np.clip(difference @ w, -30, 30)))
+    hessian = (difference * (p * (1 - p))[:, None]).T @ difference
+    return np.concatenate([-(difference * p[:, None]).sum(0), hessian.ravel(), [len(difference)]])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], width: int, ridge: float) -> np.ndarray:
+    """Newton steps on the mean logistic loss with a ridge; ``sums`` gives :func:`pair_sums` over all pairs."""
+    w = np.zeros(width)
+    for _ in range(50):
+        found = sums(w)
+        gradient, hessian = found[:width] / found[-1] + ridge * w, found[width:-1].reshape(width, width) / found[-1] + ridge * np.eye(width)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
 def fit(x: np.ndarray, good: np.ndarray, partners: int = PARTNERS, ridge: float = RIDGE) -> Model:
     """Bradley-Terry weights from all bad rows, each against ``partners`` good ones in turn, and from all good rows.
 
@@ -150,15 +177,7 @@ def fit(x: np.ndarray, good: np.ndarray, partners: int = PARTNERS, ridge: float
     partners = max(partners, -(-len(better) // len(worse)))
     at = (np.arange(len(worse))[:, None] * partners + np.arange(partners)[None, :]) % len(better)
     difference = (z[better[at]] - z[worse][:, None, :]).reshape(-1, width)
-    w = np.zeros(width)
-    for _ in range(50):  # Newton steps on the mean logistic loss with a ridge
-        p = 1 / (1 + np.exp(np.clip(difference @ w, -30, 30)))
-        gradient = -(difference * p[:, None]).mean(0) + ridge * w
-        hessian = (difference * (p * (1 - p))[:, None]).T @ difference / len(difference) + ridge * np.eye(width)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
+    w = newton(lambda w: pair_sums(difference, w), width, ridge)
     worth = z @ w
     ordered, bad = np.sort(worth), len(worse)
     # the quantile of the share of bad rows, in the widest gap within two per cent of the rows around it
@@ -168,16 +187,139 @@ def fit(x: np.ndarray, good: np.ndarray, partners: int = PARTNERS, ridge: float
     return Model(w.tolist(), centre.tolist(), scale.tolist(), threshold, 1.0)
 
 
+def by_rank(ordered: DataFrame, weight: Column) -> tuple[DataFrame, list]:
+    """Rows in a global order, kept with the number ``part`` of their partition, and of each part ``(part, rows, n)``, n: the sum of ``weight``."""
+    kept = ordered.withColumn("part", F.spark_partition_id()).checkpoint()
+    return kept, sorted(tuple(r) for r in kept.groupBy("part").agg(F.count("*"), F.sum(weight)).collect())  # a row for each partition
+
+
+def ranked(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """``(rank, good, x)`` of ``(doc_id, x, good)``, and how many are good and bad; ranks are by id, from 0 among the good and among the bad."""
+    kept, parts = by_rank(rows.select("doc_id", "x", "good").orderBy("doc_id"), F.col("good").cast("long"))
+    offsets, better, worse = {}, 0, 0
+    for part, n, good in parts:
+        offsets[part] = better, worse
+        better, worse = better + good, worse + n - good
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            seen = seen or list(offsets[batch.column("part")[0].as_py()])
+            rank = np.where(good, seen[0] + np.cumsum(good), seen[1] + np.cumsum(~good)) - 1
+            seen = [seen[0] + int(good.sum()), seen[1] + int((~good).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), batch.column("good"), batch.column("x")], ["rank", "good", "x"])
+
+    return kept.mapInArrow(each, "rank long, good boolean, x array<double>"), better, worse
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each feature, by decimal sums, which the order of rows doesn't change."""
+    total = lambda values: np.array(rows.agg(F.count("*"), *[F.sum(v.cast("decimal(28,18)")) for v in values]).first(), float)
+    value = [F.get("x", F.lit(i)) for i in range(len(FEATURES))]
+    n, *found = total(value)
+    centre = np.array(found) / n
+    scale = np.sqrt(total([(v - F.lit(float(c))) * (v - F.lit(float(c))) for v, c in zip(value, centre)])[1:] / n)
+    return centre, np.where(scale > 1e-9, scale, 1.0)
+
+
+def pair_chunks(rows: DataFrame, better: int, worse: int, partners: int, centre: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``(chunk, difference)``: the feature differences of all pairs of :func:`fit`, ``CHUNK`` to a row, of :func:`ranked` rows.
+
+    Pair q is that of bad row q // partners and good row q % better. A row goes to the chunks
+    that have a pair of it; where all good rows fit a chunk, to all.
+    """
+    pairs, width, size = worse * partners, len(FEATURES), CHUNK
+    of_bad = f"sequence(rank * {partners} div {size}, (rank * {partners} + {partners - 1}) div {size})"
+    of_good = f"transform(sequence(0L, ({pairs - 1} - rank) div {better}), m -> (rank + m * {better}) div {size})"
+    if better < size:
+        of_good = f"sequence(0L, {(pairs - 1) // size}L)"
+    dealt = rows.select(F.explode(F.when(F.col("good"), F.expr(of_good)).otherwise(F.expr(of_bad))).alias("chunk"), "rank", "good", "x")
+
+    def differences(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        z = (table["x"].combine_chunks().flatten().to_numpy().reshape(-1, width) - centre) / scale
+        good, rank = table["good"].to_numpy().astype(bool), table["rank"].to_numpy()
+        q = np.arange(chunk * size, min((chunk + 1) * size, pairs))
+        side = []
+        for kind, wanted in ((good, q % better), (~good, q // partners)):
+            own = np.flatnonzero(kind)[np.argsort(rank[kind])]
+            side.append(z[own[np.searchsorted(rank[own], wanted)]])
+        return pa.table({"chunk": pa.array([chunk], pa.int64()), "difference": pa.array([(side[0] - side[1]).tobytes()], pa.binary())})
+
+    return dealt.groupBy("chunk").applyInArrow(differences, "chunk long, difference binary").sortWithinPartitions("chunk")
+
+
+def widest_gap(worths: DataFrame, low: int, high: int) -> float:
+    """The middle of the widest gap of column ``worth`` in ascending order that has ``low`` to ``high`` rows below it, the first of equals."""
+    kept, parts = by_rank(worths.groupBy("worth").agg(F.count("*").alias("n")).orderBy("worth"), F.col("n"))
+    ends = {r["part"]: r["last"] for r in kept.groupBy("part").agg(F.max("worth").alias("last")).collect()}
+    begins, below, last = {}, 0, None
+    for part, _, n in parts:
+        begins[part] = below, last
+        below, last = below + n, ends[part]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, seen = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            below, last = seen or begins[batch.column("part")[0].as_py()]
+            for worth, n in zip(batch.column("worth").to_pylist(), batch.column("n").to_pylist()):
+                if last is not None and low <= below <= high and (best is None or worth - last > best[0]):
+                    best = worth - last, below, (worth + last) / 2
+                if below < low < below + n and best is None:  # equal rows on both sides: no gap, which any gap beats
+                    best = 0.0, low, worth
+                below, last = below + n, worth
+            seen = below, last
+        if best:
+            yield pa.RecordBatch.from_pylist([dict(zip(("gap", "at", "middle"), best))])
+
+    found = kept.mapInArrow(each, "gap double, at long, middle double").collect()  # a row for each partition at most
+    return max(found, key=lambda r: (r["gap"], -r["at"]))["middle"]
+
+
+def fit_rows(rows: DataFrame, partners: int = PARTNERS, ridge: float = RIDGE) -> Model:
+    """:func:`fit` of all rows ``(doc_id, x, good)``, of distinct ids and in their order; only sums come to the driver."""
+    bound_batches(rows.sparkSession)
+    width = len(FEATURES)
+    rows, better, worse = ranked(rows)
+    n = better + worse
+    centre, scale = moments(rows) if n else (np.zeros(width), np.ones(width))
+    if not better or not worse:
+        return Model([0.0] * width, centre.tolist(), scale.tolist(), -1.0, 1.0)
+    partners = max(partners, -(-better // worse))
+    pairs = pair_chunks(rows, better, worse, partners, centre, scale).checkpoint()
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, first = 0, None
+            for batch in batches:
+                for chunk, difference in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    first = chunk if first is None else first
+                    found = found + pair_sums(np.frombuffer(difference).reshape(-1, width), w)
+            if first is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([found.tolist()])], ["first", "sums"])
+
+        return np.sum([r["sums"] for r in sorted(pairs.mapInArrow(each, "first long, sums array<double>").collect())], axis=0)
+
+    model = Model(newton(sums, width, ridge).tolist(), centre.tolist(), scale.tolist(), 0.0, 1.0)
+    low, high = max(1, worse - n // 50), min(n - 1, worse + n // 50)
+    return model._replace(threshold=widest_gap(rows.select(model.worth(F.col("x")).alias("worth")), low, high))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """Whether crc32 of the id as text is a multiple of ``folds``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = MOST_ROWS) -> DataFrame:
-    """``(doc_id, label)`` to learn from: not held out, ``most`` rows at most; of repeated ids the best label."""
+def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int | None = None) -> DataFrame:
+    """``(doc_id, label)`` to learn from: all that are not held out, or where it is given ``most`` at most; of repeated ids the best label."""
     marked = narrow(labels, doc_id=id_col, label=label_col).where("label is not null and doc_id is not null")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return least_hashes(marked, most)
+    return marked if most is None else least_hashes(marked, most)
 
 
 def least_hashes(rows: DataFrame, most: int) -> DataFrame:
@@ -198,14 +340,12 @@ def least_hashes(rows: DataFrame, most: int) -> DataFrame:
 
 
 def learn(found: DataFrame, chosen: DataFrame) -> Model:
-    """A model from ``(doc_id, x)`` and the labels of :func:`training_labels`, which bound what is broadcast and collected.
+    """A model from ``(doc_id, x)`` and all labels of :func:`training_labels`.
 
     Where an id has several texts, the least feature array of them is learned from.
     """
-    rows = found.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label"))
-    table = rows.orderBy("doc_id").toPandas()
-    x = np.array(table["x"].tolist(), float).reshape(len(table), len(FEATURES))
-    return fit(x, table["label"].to_numpy() > 0)
+    least = found.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("x").alias("x"))
+    return fit_rows(least.join(chosen, "doc_id").select("doc_id", "x", (F.col("label") > 0).alias("good")))
 
 
 def learn_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -216,7 +356,8 @@ def learn_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labels of both kinds every score is above the decision. Further columns are not read.
     """
     chosen = training_labels(labels, id_col, label_col).checkpoint()
-    rows = narrow(docs, doc_id=id_col, text=text_col).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    rows = narrow(docs, doc_id=id_col, text=text_col).where(~held_out(F.col("doc_id")))
+    rows = rows.join(chosen.select("doc_id"), "doc_id", "left_semi")
     return learn(document_features(rows), chosen)
 
 

@@ -125,3 +125,33 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     assert M.quality_scores(no_docs, labels).count() == 0
     assert M.features("") == [0.0] * len(M.FEATURES) == M.features(" \n")
     assert pd.Series(M.features("word " * 50_000)).notna().all()
+
+
+def test_all_labels_are_learned_from(spark):
+    """Over 20,000 labelled rows, as spread out: the same model as by one array of all of them, and more labels change it."""
+    rng = np.random.default_rng(2)
+    n = 30_000
+    x = rng.normal(size=(n, len(M.FEATURES))).round(2)
+    x[:, 3] = 0.25
+    good = x[:, 0] + rng.normal(size=n) > -1
+    found = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "x": x.tolist()}), "doc_id long, x array<double>").repartition(7)
+    labels = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "quality": good.astype(int)}), "doc_id long, quality int")
+    chosen = M.training_labels(labels)
+    own = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n)])
+    assert chosen.count() == own.sum() > 20_000
+    model, plain = M.learn(found, chosen), M.fit(x[own], good[own])
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(model, plain))
+    assert not np.allclose(model.weights, M.learn(found, M.training_labels(labels, most=20_000)).weights, rtol=1e-6)
+
+
+def test_chunks_of_pairs(spark, monkeypatch):
+    """Few of one kind, chunks smaller than the good rows, equal worths: as by one array."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(M, "CHUNK", 64)
+    for n, bad in ((300, 1), (300, 299), (300, 40), (2, 1), (200, 100)):
+        x = rng.integers(0, 3, size=(n, len(M.FEATURES))) / 2.0
+        if bad == 100:
+            x[:] = 0.5
+        good = rng.permutation(n) >= bad
+        rows = spark.createDataFrame([(i, x[i].tolist(), bool(good[i])) for i in range(n)], "doc_id long, x array<double>, good boolean").repartition(3)
+        assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(M.fit_rows(rows), M.fit(x, good))), (n, bad)
