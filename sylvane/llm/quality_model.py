@@ -349,16 +349,15 @@ def learn(found: DataFrame, chosen: DataFrame) -> Model:
 
 
 def learn_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model from documents and labels; features are made of the labelled documents only.
+    """A model from documents and labels; features are made of all documents that are not held out.
 
-    Null and empty texts have zero features; of an id that is repeated, in either table, one
-    row is learned from (see :func:`learn` and :func:`training_labels`). Without documents or
-    labels of both kinds every score is above the decision. Further columns are not read.
+    They are made before labels are joined, so that no text is shuffled. Null and empty texts
+    have zero features; of an id that is repeated, in either table, one row is learned from
+    (see :func:`learn` and :func:`training_labels`). Without documents or labels of both kinds
+    every score is above the decision. Further columns are not read.
     """
-    chosen = training_labels(labels, id_col, label_col).checkpoint()
     rows = narrow(docs, doc_id=id_col, text=text_col).where(~held_out(F.col("doc_id")))
-    rows = rows.join(chosen.select("doc_id"), "doc_id", "left_semi")
-    return learn(document_features(rows), chosen)
+    return learn(document_features(rows), training_labels(labels, id_col, label_col))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
