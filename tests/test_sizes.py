@@ -1,8 +1,11 @@
 """What keeps queries whole on larger tables: work done once, neighbours and clusters that don't depend on blocks."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sylvane.functions import text as T
+from sylvane.operators import blocks, knn, pairs
 
 
 def test_tokens_of_ngrams_are_computed_once(spark):
@@ -11,3 +14,28 @@ def test_tokens_of_ngrams_are_computed_once(spark):
     assert [sorted(r["g"]) for r in made.collect()] == [["a", "a b", "b", "b c", "c", "c a"], [], ["one"]]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_lists_of_the_best_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 2)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 300")
+    many = rows.unionByName(rows.withColumn("vec_id", F.col("vec_id") + 1000))  # every vector twice, so ties
+    got = knn.knn(many, many, 7, size=64)
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in many.collect()}
+    ids = np.array(sorted(x))
+    sims = np.stack([x[i] for i in ids]) @ np.stack([x[i] for i in ids]).T
+    np.fill_diagonal(sims, -np.inf)
+    best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims.round(9)), axis=1)[:, :7]
+    assert sorted((r["src"], r["rank"], r["dst"]) for r in got.where("rank < 8").collect() if r["rank"] == 1) == sorted((int(i), 1, int(ids[b[0]])) for i, b in zip(ids, best))
+    assert np.allclose([r["sim"] for r in got.orderBy("src", "rank").collect()], np.take_along_axis(sims, best, 1).ravel())
+
+
+def test_blocks_are_shuffled_once(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    made = pairs.cosine_pairs(rows, "vec_id", "embedding")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # blocks are not copied for each other one
+    n = rows.count()
+    side = blocks.packed(rows, "vec_id", "embedding", size=64)
+    met = blocks.block_pairs(side, side, lambda a, b: pd.DataFrame({"n": [len(a[0])]}), "n long", once=True).count()
+    assert made.count() == made.select("i", "j").distinct().count() == n * (n - 1) // 2 and met == side[1] * (side[1] + 1) // 2
