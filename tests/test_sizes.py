@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sylvane.functions import text as T
-from sylvane.operators import baselines, blocks, knn, pairs
+from sylvane.operators import baselines, blocks, build, knn, models, pairs, sampling
 from sylvane.session import ensure_checkpoint_dir
 
 
@@ -60,3 +60,15 @@ def test_density_clusters_of_many_rows(spark):
     assert got.select("doc_id").distinct().count() == got.count() == 10_002
     sides = got.where("cluster >= 0").select("cluster", (F.col("doc_id") % 2).alias("side")).distinct()
     assert sides.count() == sides.select("cluster").distinct().count() >= 2  # no cluster has rows of both sides
+
+
+def test_large_nodes_with_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(build, "DENSE_NODE", 8)  # so the nodes are spread over the cluster
+    docs = spark.createDataFrame([(i, "" if i in (3, 17) else f"{'cats purr' if i % 2 else 'dogs bark'} number {i % 5}") for i in range(30)], "doc_id long, text string")
+    vectors = models.embed_documents(docs, models.HashingEmbedder(32))
+    for config in (build.TreeConfig(max_depth=1, split="kmeans", nli_overrides_kmeans=False, max_retries=0, medoids_per_cluster=2), build.TreeConfig(max_depth=1, max_retries=0, select=sampling.SamplingConfig("kmeans", 4))):
+        nodes, at = build.build_tree(docs, vectors, config)
+        assert at.where("node_id = ''").count() == 30 and sum(r["n_docs"] for r in nodes.where("depth = 1").collect()) in (0, 30)
+    nothing = vectors.where("doc_id in (3, 17)")
+    assert {r["cluster"] for r in sampling.kmeans_clusters(nothing, 2, "doc_id").collect()} == {0}
+    assert sampling.sample_ids(nothing, sampling.SamplingConfig("kmeans", 2), "doc_id") == [3]
