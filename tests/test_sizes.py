@@ -72,3 +72,40 @@ def test_large_nodes_with_empty_texts(spark, monkeypatch):
     nothing = vectors.where("doc_id in (3, 17)")
     assert {r["cluster"] for r in sampling.kmeans_clusters(nothing, 2, "doc_id").collect()} == {0}
     assert sampling.sample_ids(nothing, sampling.SamplingConfig("kmeans", 2), "doc_id") == [3]
+
+
+def test_large_nodes_compare_equal_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 2, (40, 3)).astype(float)[rng.integers(0, 40, 300)]  # at most 27 vectors, with many ties between them
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(300) * 3, x)], "doc_id long, embedding array<double>").repartition(3).checkpoint()
+    count = len(np.unique(x, axis=0))
+    whole = knn.knn(rows, rows, 5, "doc_id", "embedding").collect()
+    met = []
+
+    def watched(left, right, *more, plain=knn.block_rows, **named):
+        met.append(left[0].agg(F.sum(F.length("vectors"))).first()[0] // 24)
+        return plain(left, right, *more, **named)
+
+    monkeypatch.setattr(knn, "block_rows", watched)
+    for held in (2, 32):  # in several parts of the right side, and in one
+        monkeypatch.setattr(blocks, "HELD", held)
+        lists = knn.distinct_lists(rows, 5, count, "doc_id", "embedding", size=5)
+        assert sorted(knn.listed(lists, 5).collect()) == sorted(whole)
+    frontier = rows.select(F.lit("").alias("node_id"), "doc_id")
+    lists = build.Neighbours(rows, build.TreeConfig(n_neighbors=5)).of(frontier, "", 300)
+    assert sorted(knn.listed(lists, 5).collect()) == sorted(whole)
+    assert met == [count] * 3
+    few = rows.where("doc_id < 12")
+    assert sorted(knn.listed(knn.distinct_lists(few, 5, 4, "doc_id", "embedding"), 5).collect()) == sorted(knn.knn(few, few, 5, "doc_id", "embedding").collect())
+
+
+def test_texts_outside_a_sample_are_not_joined(spark, monkeypatch):
+    rows = spark.range(900).select(F.when(F.col("id") < 600, "L").otherwise("R").alias("node_id"), F.col("id").alias("doc_id")).checkpoint()
+    for ranked in (build.RANKED_SAMPLE, 20):
+        monkeypatch.setattr(build, "RANKED_SAMPLE", ranked)
+        quotas = [("L", 60, 600), ("R", 30, 300)]
+        table = spark.createDataFrame(quotas, "node_id string, quota int, size long")
+        drawn = {r["doc_id"] for r in build._first(rows, table, "nli42").collect()}
+        kept = {r["doc_id"] for r in rows.where(build._may_be_first(quotas, "nli42")).collect()}
+        assert drawn <= kept and len(kept) < 600
+    assert rows.where(build._may_be_first([(str(i), 1, 9) for i in range(9)], "nli42")).count() == 900
